@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,11 @@ class ByteBpe:
             pairs = [line.split() for line in f.read().splitlines() if line]
         self.rank = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in pairs}
         self.token = {rank: token for token, rank in self.rank.items()}
-        self.bytes_of = {str(rank): token.encode("latin-1") for rank, token in self.token.items()}
+        self.size = np.zeros(max(self.token) + 1, dtype=np.int64)
+        for rank, token in self.token.items():
+            self.size[rank] = len(token)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer("".join(self.token[r] for r in sorted(self.token)).encode("latin-1"), dtype=np.uint8)
         # In a set, \s and \S become their members; alone, sets of them.
         spelled = pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
         self.pieces = regex.compile(spelled).findall
@@ -51,7 +56,7 @@ class ByteBpe:
 
     def _learn(self) -> None:
         """How merging makes each token, in rank order, so that every smaller token is known first."""
-        self.words = ahocorasick.Automaton()
+        self.words, self.made = ahocorasick.Automaton(), {}
         for rank in sorted(self.token):
             token = self.token[rank]
             if len(token) == 1:
@@ -66,6 +71,7 @@ class ByteBpe:
         self.beside.clear()
         for rank in self.parts:
             self.words.add_word(self.token[rank], rank)
+            self.made[self.token[rank]] = rank
         self.words.make_automaton()
         self.most = max(map(len, self.rank))
         for rank in self.parts:
@@ -98,8 +104,8 @@ class ByteBpe:
     def _longest(self, piece: str, at: int) -> int:
         """The longest token that starts here: the automaton says how far any token's letters go, and shorter ones follow from there."""
         ahead = piece[at : at + self.most]
-        k, rank, parts = self.words.longest_prefix(ahead), self.rank, self.parts
-        while (found := rank.get(ahead[:k])) not in parts:
+        k, made = self.words.longest_prefix(ahead), self.made
+        while (found := made.get(ahead[:k])) is None:
             k -= 1
         return found
 
@@ -142,29 +148,37 @@ class ByteBpe:
                     last = out[-1] if out else -1
         return out
 
-    def _piece(self, piece: str) -> str:
-        return ",".join(map(str, self.ids(piece.encode().decode("latin-1"))))
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        ids = self.ids(piece.encode().decode("latin-1"))
+        return ",".join(map(str, ids)), array("i", ids).tobytes()
 
-    def _chunk(self, chunk: str) -> str:
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
         """A piece, or several; letters behind a space, or none, are always one."""
         if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() and self.by_space:
             return self._piece(chunk)
         pieces = self.pieces(chunk)
-        return self._piece(chunk) if len(pieces) == 1 else ",".join(map(self.known.__getitem__, pieces))
+        return self._piece(chunk) if len(pieces) == 1 else _joined([self.known[p] for p in pieces])
 
-    def encode(self, text: str) -> str:
-        """Ids in decimal, joined by commas."""
+    def encode(self, text: str) -> tuple[str, bytes]:
+        """The ids in decimal, joined by commas, and as 32-bit integers."""
         if not text:
-            return ""
+            return "", b""
         if not self.by_space or self.ragged(text):
-            return ",".join(map(self.known.__getitem__, self.pieces(text)))
+            return _joined(list(map(self.known.__getitem__, self.pieces(text))))
         first, *rest = text.split(" ")
         known = self.known.__getitem__
         # A chunk keeps the space before it.
-        return ",".join([known(first), *[known(" " + c) for c in rest]])
+        return _joined([known(first), *[known(" " + c) for c in rest]])
 
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
+
+
+def _joined(found: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +197,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(ranks, pattern)
         for b in batches:
-            ids = [np.array(x.split(",") if x else [], dtype=np.int32) for x in map(coder.encode, b.column(1).to_pylist())]
+            ids = [np.frombuffer(coder.encode(t)[1], dtype=np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -195,7 +209,7 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(ranks, pattern)
         for b in batches:
-            out = [coder.decode(",".join(map(str, x or []))).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            out = [coder.decode(np.array(x or [], dtype=np.int32)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -209,9 +223,9 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
         coder = byte_bpe(ranks, pattern)
         for b in batches:
             ids = [coder.encode(t) for t in b.column(1).to_pylist()]
-            n = [x.count(",") + 1 if x else 0 for x in ids]
-            own = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]
+            n = [len(x) // 4 for _, x in ids]
+            own = [hashlib.sha256(x.encode()).hexdigest() for x, _ in ids]
+            back = [hashlib.sha256(coder.decode(np.frombuffer(x, dtype=np.int32))).hexdigest() for _, x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(own), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
