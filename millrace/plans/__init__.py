@@ -1 +1,4 @@
+"""Registered queries over the library's operators."""
 
+from millrace.plans import passports, texts  # noqa: F401
+from millrace.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
