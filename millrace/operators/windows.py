@@ -13,9 +13,9 @@ def moving_average(rows: DataFrame, by: list[str], order: str, value: str, width
 
 
 def bands(rows: DataFrame, by: list[str], order: str, value: str, threshold: float, least: int = 2) -> DataFrame:
-    """Maximal runs of rows with value >= threshold, least rows long: first and last order value, length, peak."""
+    """Maximal runs of rows with value >= threshold, least rows long: first and last order value, length, peak. A null value ends a run."""
     w = Window.partitionBy(*by).orderBy(order)
-    inside = F.col(value) >= threshold
+    inside = F.coalesce(F.col(value) >= threshold, F.lit(False))
     marked = rows.withColumn("_in", inside).withColumn("_run", F.sum(F.when(~inside, 1).otherwise(0)).over(w))
     runs = marked.where("_in").groupBy(*by, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"), F.max(value).alias("peak"))
     return runs.where(F.col("length") >= least).drop("_run")
