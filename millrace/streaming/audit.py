@@ -29,13 +29,16 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, length: str = "1 hour
     return events.withWatermark(ts, late).groupBy(F.window(ts, length), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def first_of_session(events: DataFrame, session: str, columns: str, cap: int = 100, ttl: str = "7 days") -> DataFrame:
+def first_of_session(events: DataFrame, session: str, columns: str, cap: int = 100, ttl: str | None = "7 days") -> DataFrame:
     """The first cap rows of each session as they come: the state is a count, kept for ttl behind the last row.
 
+    With a ttl the query runs batches without data to see what has expired, so an availableNow trigger never
+    ends; without one (None) the state stays and it does.
+
     columns: the schema of the rows that go on, session first.
     """
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
-    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
 
     def run(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,6 +51,7 @@ def first_of_session(events: DataFrame, session: str, columns: str, cap: int = 1
             if room:
                 yield frame[names].head(room)
         state.update((seen,))
-        state.setTimeoutDuration(keep_ms)
+        if ttl:
+            state.setTimeoutDuration(keep_ms)
 
-    return events.groupBy(session).applyInPandasWithState(run, columns, "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(session).applyInPandasWithState(run, columns, "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)

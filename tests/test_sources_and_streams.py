@@ -78,14 +78,14 @@ def test_streams(spark, tmp_path):
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     q = audit.append_log(audit.masked_log(stream, ["user_id"]), str(tmp_path / "log"), str(tmp_path / "c1"))
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 30 and {r["user_id"] for r in log.collect()} == {"****"}
     counts = audit.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
-    counts.awaitTermination()
+    assert counts.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("counts").collect()) == [10, 10, 10]
-    capped = audit.first_of_session(stream, "user_id", "user_id long, event_id long", cap=4).writeStream.format("memory").queryName("capped").outputMode("append").trigger(availableNow=True).start()
-    capped.awaitTermination()
+    capped = audit.first_of_session(stream, "user_id", "user_id long, event_id long", cap=4, ttl=None).writeStream.format("memory").queryName("capped").outputMode("append").trigger(availableNow=True).start()
+    assert capped.awaitTermination(60)
     assert {r["user_id"]: r["count"] for r in spark.table("capped").groupBy("user_id").count().collect()} == {0: 4, 1: 4}
 
 
