@@ -223,7 +223,7 @@ def form_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     w AS (SELECT *, list_filter([CASE WHEN blur < 50 THEN 'BLURRY' END, CASE WHEN brightness < 50 THEN 'TOO_DARK' END, CASE WHEN brightness > 220 THEN 'OVEREXPOSED' END, CASE WHEN contrast < 30 THEN 'LOW_CONTRAST' END, CASE WHEN glare > 0.15 THEN 'GLARE' END,
           CASE WHEN abs(skew) > 5 THEN 'SKEWED' END, CASE WHEN width < 600 THEN 'LOW_RESOLUTION' END], lambda x: x IS NOT NULL) AS w FROM m)
     SELECT l_orderkey, l_linenumber, array_to_string(w, ';') AS warnings,
-           round(least(0.3, coalesce(list_sum(list_transform(w, lambda x: CASE x WHEN 'BLURRY' THEN 0.15 WHEN 'LOW_CONTRAST' THEN 0.08 WHEN 'SKEWED' THEN 0.05 ELSE 0.1 END)), 0)), 6) AS penalty FROM w""",
+           round(least(0.3, coalesce(list_sum(list_transform(w, lambda x: CASE x WHEN 'BLURRY' THEN 0.15 WHEN 'LOW_CONTRAST' THEN 0.08 WHEN 'SKEWED' THEN 0.05 ELSE 0.1 END)), 0)), 6)::DOUBLE AS penalty FROM w""",
 )
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")

@@ -135,9 +135,9 @@ def mrz_best_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mrz_line_pairs",
     f"""WITH {PASSPORTS_SQL}, lens AS (SELECT *, length(line1) AS a, length(line2) AS b FROM passports)
-    SELECT doc_id, 40.0 + 40.0 + 20.0 + CASE WHEN substr(line1, 3, 1) IN ('<', 'A', 'V') THEN 5.0 ELSE 0 END
+    SELECT doc_id, (40.0 + 40.0 + 20.0 + CASE WHEN substr(line1, 3, 1) IN ('<', 'A', 'V') THEN 5.0 ELSE 0 END
            + CASE WHEN regexp_matches(line2, '[0-9]{{6}}') THEN 10.0 ELSE 0 END
-           + CASE WHEN length(line1) - length(replace(line1, '<', '')) >= 5 THEN 5.0 ELSE 0 END + CASE WHEN length(line2) - length(replace(line2, '<', '')) >= 5 THEN 5.0 ELSE 0 END AS score,
+           + CASE WHEN length(line1) - length(replace(line1, '<', '')) >= 5 THEN 5.0 ELSE 0 END + CASE WHEN length(line2) - length(replace(line2, '<', '')) >= 5 THEN 5.0 ELSE 0 END)::DOUBLE AS score,
            list_max(list_transform(regexp_extract_all(line1, '<+'), lambda x: length(x))) AS longest_run
     FROM lens""",
 )
