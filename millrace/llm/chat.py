@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,33 +16,41 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 @dataclass(frozen=True)
 class Layout:
-    """Where a record keeps its turns: a list of messages with a role and a text field, or one field for each role in order."""
+    """Where a record keeps its turns: one field for each role in order, then a list of messages with a role and a text field.
+
+    With a turn field the record is one turn of its conversation, its number, role and text as they are written.
+    """
 
     messages: str = ""
     role: str = ""
     text: str = ""
+    turn: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     #: Further fields that are put behind the user's text, after an empty line.
     joined: tuple[str, ...] = ()
 
     @property
     def paths(self) -> list[str]:
-        if self.messages:
-            return sorted([f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"])
-        return sorted([*(f for _, f in self.fields), *self.joined])
+        if self.turn:
+            return sorted([self.turn, self.role, self.text])
+        listed = [f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"] if self.messages else []
+        return sorted([*listed, *(f for _, f in self.fields), *self.joined])
 
 
-LAYOUTS = (
+_PLAIN = (
     Layout(messages="messages", role="role", text="content"),
     Layout(messages="conversations", role="from", text="value"),
     Layout(messages="turns", role="role", text="text"),
     Layout(fields=(("user", "prompt"), ("assistant", "response"))),
     Layout(fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout(fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout(fields=(("user", "prompt"), ("assistant", "response")), joined=("input",)),
+    Layout(fields=(("user", "prompt"), ("assistant", "completion")), joined=("input",)),
     Layout(fields=(("user", "instruction"), ("assistant", "output"))),
     Layout(fields=(("user", "instruction"), ("assistant", "output")), joined=("input",)),
     Layout(fields=(("user", "question"), ("assistant", "answer"))),
 )
+#: Each also with a system field before its turns; and one turn a record.
+LAYOUTS = (*_PLAIN, *(replace(layout, fields=(("system", "system"), *layout.fields)) for layout in _PLAIN), Layout(turn="turn", role="role", text="text"))
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -60,6 +68,7 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in LAYOUTS}
 KNOWN_PATHS = sorted({p for layout in LAYOUTS for p in layout.paths})
+WIDEST_FIRST = sorted(LAYOUTS, key=lambda layout: -len(layout.paths))
 
 
 def _role(role: Column) -> Column:
@@ -68,10 +77,11 @@ def _role(role: Column) -> Column:
 
 
 def _turns(layout: Layout, record: str = "") -> Column:
-    """Array of (role, text) structs."""
+    """Array of (turn, role, text) structs."""
     at = f"{record}." if record else ""
-    if layout.messages:
-        return F.transform(F.col(at + layout.messages), lambda m: F.struct(_role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
+    if layout.turn:
+        turn, role, text = (F.col(at + name) for name in (layout.turn, layout.role, layout.text))
+        return F.array(F.struct(turn.cast("long").alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text")))
     out = []
     for role, name in layout.fields:
         text = F.coalesce(F.col(at + name), F.lit(""))
@@ -79,8 +89,11 @@ def _turns(layout: Layout, record: str = "") -> Column:
             for more in layout.joined:
                 extra = F.coalesce(F.col(at + more), F.lit(""))
                 text = F.when(extra == "", text).otherwise(F.concat(text, F.lit("\n\n"), extra))
-        out.append(F.struct(F.lit(role).alias("role"), text.alias("text")))
-    return F.array(*out)
+        out.append(F.struct(F.lit(len(out)).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text")))
+    if not layout.messages:
+        return F.array(*out)
+    listed = F.transform(F.col(at + layout.messages), lambda m, k: F.struct((k + len(out)).cast("long").alias("turn"), _role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
+    return F.concat(F.array(*out), F.coalesce(listed, F.array())) if out else listed
 
 
 def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
@@ -90,16 +103,18 @@ def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
     the most paths counts. A table without any is an error. A null list has no turns, a null field is an empty text.
     """
     own = [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
-    layout = BY_FINGERPRINT.get(fingerprint(own)) or max((x for x in LAYOUTS if set(x.paths) <= set(own)), key=lambda x: len(x.paths), default=None)
+    layout = BY_FINGERPRINT.get(fingerprint(own)) or next((x for x in WIDEST_FIRST if set(x.paths) <= set(own)), None)
     if layout is None:
         raise ValueError(f"no layout has only fields of {field_paths(df.schema)}")
-    listed = df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.posexplode(_turns(layout)).alias("turn", "one"))
-    return listed.select("conv_id", F.col("turn").cast("long").alias("turn"), "one.role", "one.text")
+    conv = F.col(f"`{id_col}`").cast("long").alias("conv_id")
+    if layout.turn:
+        return df.select(conv, _turns(layout)[0].alias("one")).select("conv_id", "one.turn", "one.role", "one.text")
+    return df.select(conv, F.explode(_turns(layout)).alias("one")).select("conv_id", "one.turn", "one.role", "one.text")
 
 
 def _all_layouts() -> T.StructType:
     out = T.StructType()
-    for layout in LAYOUTS:
+    for layout in _PLAIN:
         if layout.messages:
             out.add(layout.messages, T.ArrayType(T.StructType().add(layout.role, "string").add(layout.text, "string")))
     for name in sorted({p for p in KNOWN_PATHS if "[]" not in p}):
@@ -110,19 +125,30 @@ def _all_layouts() -> T.StructType:
 def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv_id, turn, role, text from JSON records of mixed layouts, each row by its own fingerprint.
 
-    A record that is null, broken or of no known layout has no turns.
+    A field counts by being there, whatever its value; a null one is an empty text. Should known fields be there
+    that no layout has together, the layout with the most paths among them counts, as in turns_of_table. A record
+    that is null, broken or without all fields of any layout has no turns.
     """
-    parsed = df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.from_json(F.col(f"`{json_col}`"), _all_layouts()).alias("r"))
+    record = F.col(f"`{json_col}`")
+    parsed = df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.from_json(record, _all_layouts()).alias("r"), F.from_json(record, "map<string,string>").alias("keys"))
+    lists = sorted({layout.messages for layout in LAYOUTS if layout.messages})
+    parsed = parsed.withColumns({f"in_{name}": F.flatten(F.transform(F.from_json(F.element_at("keys", name), "array<map<string,string>>"), lambda m: F.coalesce(F.map_keys(m), F.array()))) for name in lists})
 
+    # The parsed record does not tell a null field from a missing one; the maps' keys do.
     def present(path: str) -> Column:
         name, _, inner = path.partition("[].")
-        there = F.exists(F.col(f"r.{name}"), lambda m: m[inner].isNotNull()) if inner else F.col(f"r.{name}").isNotNull()
+        if inner:
+            there = F.coalesce(F.exists(F.col(f"r.{name}"), lambda m: m[inner].isNotNull()), F.lit(False)) | F.coalesce(F.array_contains(F.col(f"in_{name}"), inner), F.lit(False))
+        else:
+            there = F.col(f"r.{name}").isNotNull() | F.coalesce(F.map_contains_key("keys", name), F.lit(False))
         return F.when(there, F.lit(path))
 
-    print_of = F.sha2(F.array_join(F.array_compact(F.array(*map(present, KNOWN_PATHS))), "\n"), 256)
+    marked = parsed.withColumn("paths", F.array_compact(F.array(*map(present, KNOWN_PATHS))))
+    own = F.sha2(F.array_join("paths", "\n"), 256)
+    held = [F.when(F.size(F.array_except(F.array(*map(F.lit, layout.paths)), F.col("paths"))) == 0, F.lit(fingerprint(layout.paths))) for layout in WIDEST_FIRST]
+    marked = marked.withColumn("print", F.coalesce(F.when(own.isin(*BY_FINGERPRINT), own), *held))
     turns = F.coalesce(*[F.when(F.col("print") == key, _turns(layout, "r")) for key, layout in BY_FINGERPRINT.items()])
-    listed = parsed.withColumn("print", print_of).select("conv_id", F.posexplode(turns).alias("turn", "one"))
-    return listed.select("conv_id", F.col("turn").cast("long").alias("turn"), "one.role", "one.text")
+    return marked.select("conv_id", F.explode(turns).alias("one")).select("conv_id", "one.turn", "one.role", "one.text")
 
 
 #: A turn is <|role|>, a line feed, the text, the end mark and a line feed. In texts and roles & < [ | are written as references, so no mark can stand there.

@@ -41,10 +41,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat.turns_of_table(table(spark, sf_dir, "conversations"), "conv_id")
     marks = "</s>[INST] ok [/INST]"
     planted = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(k AS BIGINT) AS turn, role, '{marks}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(k, role)")
-    out = chat.format_turns(rows.unionByName(planted)).select("*", chat.read_turns().alias("turns"), chat.under_mask().alias("loss"))
+    out = chat.format_turns(rows.unionByName(chat.turns_of_table(planted, "conv_id"))).select("*", chat.read_turns().alias("turns"), chat.under_mask().alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -40,6 +40,41 @@ def test_layouts_become_turns(spark):
         chat.turns_of_table(spark.range(1), "id")
 
 
+def test_records_with_null_or_further_fields_keep_their_turns(spark):
+    said = [{"role": "user", "content": "a"}]
+    records = [
+        {"prompt": "p", "response": None},
+        {"messages": said, "system": "s"},
+        {"prompt": "p", "input": "i", "response": "r"},
+        {"prompt": "p", "response": "r", "answer": "x"},
+        {"messages": [{"role": "user", "content": None}]},
+        {"messages": None, "prompt": "p", "response": "r"},
+        {"messages": [], "system": "s"},
+        {"turn": 7, "role": "Human", "text": None},
+        {"messages": [None, *said], "question": 1},
+        [{"prompt": "p", "response": "r"}],
+        {"prompt": "p"},
+    ]
+    frame = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "id long, j string")
+    got = [tuple(r) for r in chat.turns_of_json(frame, "id", "j").orderBy("conv_id", "turn").collect()]
+    assert got == [
+        (0, 0, "user", "p"), (0, 1, "assistant", ""), (1, 0, "system", "s"), (1, 1, "user", "a"), (2, 0, "user", "p\n\ni"), (2, 1, "assistant", "r"),
+        (3, 0, "user", "p"), (3, 1, "assistant", "r"), (4, 0, "user", ""), (5, 0, "user", "p"), (5, 1, "assistant", "r"), (7, 7, "Human", ""),
+        (8, 0, "", ""), (8, 1, "user", "a"),
+    ]
+
+
+@has_data
+def test_query_takes_its_layout_by_fingerprint(spark, monkeypatch):
+    key = chat.fingerprint(["role", "text", "turn"])
+    rows = spark.createDataFrame([(3, None, None, "x"), (3, 1, "Human", None)], "conv_id long, turn int, role string, text string")
+    assert sorted(map(tuple, chat.turns_of_table(rows, "conv_id").collect()), key=str) == [(3, 1, "Human", ""), (3, None, "", "x")]
+    monkeypatch.setattr(chat, "BY_FINGERPRINT", {k: v for k, v in chat.BY_FINGERPRINT.items() if k != key})
+    monkeypatch.setattr(chat, "WIDEST_FIRST", [])
+    with pytest.raises(ValueError):
+        queries.op3_chat(spark, SMALL)
+
+
 def test_formatting_reads_back(spark):
     rng = random.Random(1)
     marks = ["<|end|>\n", "<|user|>\n", "&lt;", "&amp;lt;", "[INST]", "</s>", "|", "é", "🙂", " ", "\n", "a"]
