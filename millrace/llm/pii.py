@@ -84,11 +84,14 @@ _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])
 _SPACED = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:at|arobase|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*)[A-Za-z0-9-]+)*?(?:\s+(?:dot|point|punkt|punto)\s+|\.)(?:{TOP_LABELS})(?![\w-])")
 _AT_WORD = re.compile(r"(?i)\s+(?:at|arobase|arroba)\s+|\s*@\s*")
 _DOT_WORD = re.compile(r"(?i)\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*")
-#: Without any of these, in lower case and single spaces, no sign can be disguised.
-_SIGN_HINTS = (" dot ", " point ", " punkt ", " punto ", " @", "@ ")
-_BRACKET_HINT = re.compile(r"[\[({<] *(?:at|dot|\.|@|ar|point|punkt|punto)")
-_AT_HINT = re.compile(r" (?:at|arobase|arroba) +[a-z0-9-]+\.[a-z]")
 _SPELLED_HINT = re.compile(rf"(?i)(?<![^\W\d_])(?:{_NAME})(?:[\s,.-]+(?:(?:{_NAME}|dot|point|punkt|punto)(?![^\W\d_])|[0-9]+)){{3,}}")
+#: Latin-1 with its letters small, its digits 0 and the separators of spelled digits as spaces.
+_SIMPLE = bytes(32 if chr(k).isspace() or chr(k) in ",.-" else 48 if chr(k) in "0123456789" else ord(chr(k).lower()) for k in range(256))
+_MIDDLE = rf"(?:{_NAME}|dot|point|punkt|punto|0+)"
+#: Parts that every match of the patterns above has, each begun by few characters: a text without them is not rewritten.
+_SPELLED_PART = re.compile(f" {_MIDDLE} +{_MIDDLE} ".encode("latin-1"))
+_BRACKET_PART = re.compile(r"(?i)[\[({<]\s*(?:at|@|arobase|arroba|dot|\.|point|punkt|punto)\s*[\])}>]")
+_SPACED_PART = re.compile(rf"(?i)(?:\s(?:at|arobase|arroba)\s+|@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*)[A-Za-z0-9-]+)*?(?:\s+(?:dot|point|punkt|punto)\s+|\.)(?:{TOP_LABELS})(?![\w-])")
 
 
 class Tape:
@@ -164,17 +167,21 @@ def disguised_signs(tape: Tape) -> None:
 TRANSDUCERS: tuple[Callable[[Tape], None], ...] = (letters, spelled_digits, disguised_signs)
 
 
-def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that show only after rewriting, as source spans that overlap no base span of their kind."""
+def rewritable(text: str) -> bool:
+    """False only if no transducer changes the text: letters leaves Latin-1 without soft hyphens, the others what has no part of their patterns."""
     try:
-        odd = b"\xad" in text.encode("latin-1")
+        plain = text.encode("latin-1")
     except UnicodeEncodeError:
-        odd = True
-    if not odd:
-        low = text.lower().replace("\n", " ")
-        named = bytes(map(DIGIT_NAMES.__contains__, low.replace(",", " ").replace(".", " ").replace("-", " ").split()))
-        if b"\1\1\1" not in named and not any(h in low for h in _SIGN_HINTS) and not _BRACKET_HINT.search(low) and not _AT_HINT.search(low):
-            return []
+        return True
+    if b"\xad" in plain:
+        return True
+    return bool((_SPELLED_PART.search(plain.translate(_SIMPLE)) and _SPELLED_HINT.search(text)) or _BRACKET_PART.search(text) or (_SPACED_PART.search(text) and _SPACED.search(text)))
+
+
+def hidden_spans(text: str, base: list[Span]) -> list[Span]:
+    """Identifiers that show only after rewriting, as source spans that overlap no base span of their kind."""
+    if not rewritable(text):
+        return []
     tape = Tape(text)
     for rewrite in TRANSDUCERS:
         rewrite(tape)

@@ -263,7 +263,40 @@ def test_disguises_map_back_to_the_source(text, span, kind):
     assert base == [] and [(text[s:e], k) for s, e, k in added] == [(span, kind)]
 
 
+GATED = [
+    ("call plus four 4 20 seven nine 4 six 0 one 8 now", "plus four 4 20 seven nine 4 six 0 one 8", 3),
+    ('at "one.two.three.four" there', "one.two.three.four", 1),
+    ("jane\tat\texample\tdot\torg", "jane\tat\texample\tdot\torg", 0),
+    ("jane\xa0at\xa0example\xa0dot\xa0org", "jane\xa0at\xa0example\xa0dot\xa0org", 0),
+    ("bob@mail .example.com", "bob@mail .example.com", 0),
+    ("bob [\tarroba\n] mail.com", "bob [\tarroba\n] mail.com", 0),
+]
+
+
+@pytest.mark.parametrize("text,span,kind", GATED)
+def test_disguises_in_plain_characters_do_not_depend_on_other_text(text, span, kind):
+    for more in ("", " \u4e2d"):
+        assert [((text + more)[s:e], k) for part in pii.find(text + more) for s, e, k in part] == [(span, kind)]
+    assert span not in pii.mask(text, pii.find(text)[1])
+
+
+def test_gated_texts_are_as_without_the_gate(monkeypatch):
+    rng = random.Random(8)
+    words = ["one", "Zéro", "fünf", "OH", "un", "4", "20", "plus", "dot", "POINT", "at", "Arroba", "@", ".", ",", "-", "(", ")", "[", "]", "<", '"', "_", "jane", "bob9", "example", "mail.example", "com", "org", "a@b.co", "ñ"]
+    gaps = ["", "", " ", " ", " ", "\t", "\n", "\xa0", "  ", ".", ", ", "-"]
+    some = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(1, 16))) for _ in range(20_000)]
+    digits = ["one", "two", "drei", "4", "20", "six", "0", "dot"]
+    some += [rng.choice(['"', "x ", "+", "plus ", "4"]) + rng.choice([" ", ".", "-", "\t"]).join(rng.choice(digits) for _ in range(rng.randint(3, 14))) + rng.choice(['"', "s", "9", ""]) for _ in range(10_000)]
+    gated = [pii.find(text) for text in some]
+    kept = [text for text in some if not pii.rewritable(text)]
+    monkeypatch.setattr(pii, "rewritable", lambda text: True)
+    assert gated == [pii.find(text) for text in some]
+    assert sum(bool(added) for _, added in gated) > 500 and len(kept) > 2000
+
+
 def test_clean_prose_and_long_runs():
+    for text in (" " * 50_000, "a" + "\t" * 50_000, "( " * 30_000, "a @ " * 20_000, " at a" * 20_000, " 1," * 20_000):
+        assert pii.find(text) == ([], [])
     for text in ("Look at the dot on it. And at one, two dots.", "un deux trois", "1" * 50_000, "a" * 50_000 + "@", "+" + "1 " * 30_000, "one " * 10_000):
         assert pii.find(text)[0] == [] or text[0] in "1+"
 
