@@ -59,6 +59,40 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
 
 
+#: Parts that a group's values are counted in before those around its middle are looked at.
+PARTS = 4096
+
+
+def upper_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, middle: rows of each group and the value at place floor(n / 2) + 1, NaN behind all numbers and nulls behind NaN.
+
+    Equal values are counted first, then the counts of equal stretches between a group's least and greatest
+    number are summed, and only the stretch that holds the place is ordered; no task holds a group's values.
+    """
+    v, keys = F.col("_v"), [f"_k{k}" for k in range(len(by))]
+    counts = rows.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    number = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v / 2)
+    groups = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min(number).alias("_low"), (F.max(number) - F.min(number)).alias("_span"))
+    ends = F.when(v.isNull(), PARTS + 3).when(F.isnan(v), PARTS + 2).when(v == float("inf"), PARTS + 1).when(v == float("-inf"), -1)
+    part = ends.when(F.col("_span") > 0, F.floor((v / 2 - F.col("_low")) / F.col("_span") * PARTS)).otherwise(0)
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Null keys are a group too."""
+        renamed = right.withColumnsRenamed({k: f"{k}_r" for k in on})
+        both = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in on]
+        return left.join(renamed, both).drop(*[f"{k}_r" for k in on])
+
+    placed = joined(counts, groups, keys).select(*keys, "n", "_v", "_c", part.cast("long").alias("_part"))
+    sums = placed.groupBy(*keys, "_part").agg(F.first("n").alias("n"), F.sum("_c").alias("_c"))
+    middle = F.floor(F.col("n") / 2) + 1
+    held = sums.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")))
+    held = held.where((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_c") < middle)).select(*keys, "_part", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = joined(placed, held, [*keys, "_part"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(v.asc_nulls_last()))
+    found = inside.withColumn("_upto", upto).where((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_c") < middle))
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "n", v.alias("middle"))
+
+
 def best(rows: DataFrame, by: list[str], score: str, order: list[str], n: int = 1) -> DataFrame:
     """The n rows of each group with the highest score; order decides ties."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), *order)

@@ -128,8 +128,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS middle, round(greatest(list_sort(list(value))[count(*) // 2 + 1] * 0.6, 3.0), 6) AS tolerance FROM events GROUP BY user_id",
 )
 def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    middle = windows.upper_median(F.collect_list("value"))
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), middle.alias("middle"))
+    g = windows.upper_medians(table(spark, sf_dir, "events"), ["user_id"], "value")
     return g.select("user_id", "n", "middle", exact(F.greatest(F.col("middle") * 0.6, F.lit(3.0))).alias("tolerance"))
 
 

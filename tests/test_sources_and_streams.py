@@ -1,12 +1,15 @@
 """Sources, sinks, streams and image statistics on small inputs."""
 
 import json
+import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import images, records, windows
+from millrace.plans import ORACLE_SQL, events
 from millrace.sources import files, pages, sinks
 from millrace.streaming import audit
 
@@ -72,6 +75,22 @@ def test_windows_on_edges(spark):
     assert spark.range(1).select(windows.upper_median(F.array().cast("array<double>")).alias("m")).first()["m"] is None
 
 
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_upper_medians_without_arrays(spark, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(windows, "PARTS", parts)
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 5e-324, 1.7e308, -1.7e308]
+    rows = [(7, rng.gauss(0, 100)) for _ in range(3000)] + [(None, rng.randint(0, 3) / 2) for _ in range(50)] + [(9, None)] * 3 + [(8, 1.0)] + [(5, None), (5, 2.0)]
+    rows += [(100 + k, rng.choice([*odd, rng.random(), rng.random() * 1e9])) for k in range(150) for _ in range(rng.randint(1, 12))]
+    spark.createDataFrame(rows, "user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = events.upper_medians(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "NestedLoop" not in plan
+    want = duckdb.sql(ORACLE_SQL["upper_medians"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    same = [sorted(([str(x) for x in r[:2]] + [None if r[2] is None else str(r[2] + 0.0), f"{r[3]:.9g}"] for r in some), key=str) for some in (map(tuple, out.collect()), want)]
+    assert same[0] == same[1] and len(want) == 155
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, f"2024-01-01 0{k % 3}:00:00", k % 2, "click") for k in range(30)]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
