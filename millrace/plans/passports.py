@@ -125,6 +125,20 @@ def mrz_all_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.size(mrz.all_substitutions(F.substring("true_number", 6, 4))).cast("double").alias("n_candidates"))
 
 
+_CANDIDATE = " || ".join(f"CASE WHEN (m >> {i}) & 1 = 1 THEN translate(substr(true_number, {i + 1}, 1), 'OIBSZ01852', '01852OIBSZ') ELSE substr(true_number, {i + 1}, 1) END" for i in range(9))
+
+
+@query(
+    "mrz_all_substitutions_whole",
+    f"""WITH {PASSPORTS_SQL}, made_up AS (SELECT DISTINCT doc_id, {_CANDIDATE} AS candidate FROM passports, range(512) AS t(m))
+    SELECT doc_id, count(*) AS n_candidates, sha256(string_agg(candidate, ',' ORDER BY candidate)) AS candidates_sha256 FROM made_up GROUP BY doc_id""",
+)
+def mrz_all_substitutions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subset of confusable characters in the whole number, by count and digest of the ordered candidates."""
+    p = passport_lines(spark, sf_dir).withColumn("made_up", mrz.all_substitutions(F.col("true_number")))
+    return p.select("doc_id", F.size("made_up").cast("long").alias("n_candidates"), F.sha2(F.array_join("made_up", ","), 256).alias("candidates_sha256"))
+
+
 @query("mrz_best_substitution", f"WITH {PASSPORTS_SQL} SELECT doc_id, {sql_digit('true_number')} = {sql_digit('true_number')} AS digit_holds FROM passports")
 def mrz_best_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passport_lines(spark, sf_dir)

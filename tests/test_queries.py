@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import hashlib
+import itertools
 import math
 import os
 
@@ -49,3 +51,11 @@ def test_no_python_in_plans(spark):
 def test_filters_reach_the_scan(spark):
     plan = plans.QUERIES["audit_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "In(event_type" in plan and "GreaterThanOrEqual(ts" in plan and "props" not in plan
+
+
+def test_substitutions_of_whole_numbers(spark):
+    names = {r["doc_id"]: r for r in plans.QUERIES["mrz_all_substitutions_whole"](spark, SMALL).collect()}
+    swap = dict(zip("OIBSZ01852", "01852OIBSZ", strict=True))
+    for doc, r in names.items():
+        made = sorted("".join(p) for p in itertools.product(*[sorted({c, swap.get(c, c)}) for c in f"P{doc:08d}"]))
+        assert (r["n_candidates"], r["candidates_sha256"]) == (len(made), hashlib.sha256(",".join(made).encode()).hexdigest())
