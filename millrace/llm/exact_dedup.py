@@ -14,7 +14,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical; a null text counts as empty. Of equal texts the largest doc_id stays.
     A row goes on to the next, costlier, key only if another row shares its key so far: byte length first,
     then length with a hash of the first characters, then SHA-256 of the whole text. A text that is alone
-    after an earlier round is never read in full, and its text_sha256 is null unless digest_all.
+    after an earlier round is never read in full, and its text_sha256 is null unless digest_all. Should more
+    length and prefix pairs repeat than may be broadcast (BROADCAST_BYTES / 32), the prefix round is left out:
+    all that share a length are read in full and have a text_sha256; the groups are the same.
     Rows with the same doc_id and text are the same document twice: both are listed, both are kept (use
     unique ids); a null doc_id never wins against another id, and kept is false for it unless its whole
     group has no id. An empty table gives an empty result. Group sizes are counted before any shuffle, so a
@@ -43,8 +45,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group of equal texts."""
+    """docs, all columns, with one document of each group of equal texts.
+
+    Rows without a doc_id go if their text has a row with one; in groups where no row has one, all stay.
+    """
     from millrace.llm.tables import without
 
     verdict = exact_duplicates(docs)
-    return without(docs, written(verdict.where("not kept and doc_id is not null").select("doc_id"), "dedup-dropped"))
+    named = without(docs.where("doc_id is not null"), written(verdict.where("not kept and doc_id is not null").select("doc_id"), "dedup-dropped"))
+    copies = written(verdict.where("not kept and doc_id is null").select(F.col("text_sha256").alias("_digest")).distinct(), "dedup-unnamed")
+    unnamed = docs.where("doc_id is null").withColumn("_digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return named.unionByName(unnamed.join(small(copies, 100), "_digest", "left_anti").drop("_digest"))

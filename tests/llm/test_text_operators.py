@@ -61,6 +61,12 @@ def test_keep_distinct_keeps_all_columns(spark, rows):
     assert set(texts) == {t or "" for i, t in rows if i is not None}
 
 
+def test_keep_distinct_drops_rows_without_ids_that_have_a_named_copy(spark):
+    docs = table(spark, [(1, "same"), (2, "same"), (None, "same"), (None, "alone"), (None, "both"), (None, "both"), (4, None), (None, ""), (5, "own")])
+    left = sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.keep_distinct(docs).collect())
+    assert left == [("2", "same"), ("4", None), ("5", "own"), ("None", "alone"), ("None", "both"), ("None", "both")]
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
