@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import BROADCAST_BYTES, small, texts, written
+from millrace.llm.tables import bitmaps, free_name, small, texts, with_hit, without, written
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
@@ -13,46 +13,47 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the largest doc_id stays.
     A row goes on to the next, costlier, key only if another row shares its key so far: byte length first,
-    then length with a hash of the first characters, then SHA-256 of the whole text. A text that is alone
-    after an earlier round is never read in full, and its text_sha256 is null unless digest_all. Should more
-    length and prefix pairs repeat than may be broadcast (BROADCAST_BYTES / 32), the prefix round is left out:
-    all that share a length are read in full and have a text_sha256; the groups are the same.
+    then length with a hash of the first characters, then SHA-256 of the whole text. Which pairs of length
+    and prefix hash repeat is told to the tasks by a bitmap of fixed size, so the rounds are the same at every
+    size and no text is shuffled; a text alone in its pair is digested only if another pair has its bit.
+    Such a text's text_sha256 is null like that of all texts alone after an earlier round, unless digest_all.
     Rows with the same doc_id and text are the same document twice: both are listed, both are kept (use
-    unique ids); a null doc_id never wins against another id, and kept is false for it unless its whole
-    group has no id. An empty table gives an empty result. Group sizes are counted before any shuffle, so a
-    text that a third of all rows share costs one row per task; texts themselves are never shuffled.
+    unique ids); a doc_id with several texts is judged text by text; a null doc_id never wins against another
+    id, and kept is false for it unless its whole group has no id. An empty table gives an empty result. Group
+    sizes are counted before any shuffle, so a text that a third of all rows share costs one row per task.
     """
     base = texts(docs, id_col, text_col).withColumn("n", F.octet_length("text"))
     lengths = written(base.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"), "dedup-lengths")
     # Lengths are as many as the longest text has bytes, at most.
     by_length = base.join(small(lengths.withColumn("again", F.lit(True)), 16), "n", "left").withColumn("prefix", F.when(F.col("again"), F.xxhash64(F.substring("text", 1, prefix_chars))))
     prefixes = written(by_length.where("again").groupBy("n", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("n", "prefix"), "dedup-prefixes")
-    if prefixes.count() * 32 <= BROADCAST_BYTES:
-        reached = by_length.drop("again").join(F.broadcast(prefixes.withColumn("again", F.lit(True))), ["n", "prefix"], "left")
-    else:
-        # Too many groups to send to every task: digest all that survive the lengths rather than shuffle texts.
-        reached = by_length
+    reached = with_hit(by_length, written(bitmaps(prefixes, "n", "prefix"), "dedup-bits"), "hit", F.col("n"), F.col("prefix")).withColumn("hit", F.col("hit") & F.col("prefix").isNotNull())
     digest = F.sha2("text", 256)
-    digests = written(reached.select("doc_id", F.coalesce(F.col("again"), F.lit(False)).alias("again"), (digest if digest_all else F.when(F.col("again"), digest)).alias("text_sha256")), "dedup-digests")
-    again = digests.where("again")
+    digests = written(reached.select("doc_id", "n", "prefix", "hit", (digest if digest_all else F.when(F.col("hit"), digest)).alias("text_sha256")), "dedup-digests")
+    if not digest_all:
+        again = prefixes.withColumn("again", F.lit(True))
+        exact = digests.join(small(again, 24), ["n", "prefix"], "left").withColumn("hit", F.coalesce("again", F.lit(False)))
+        digests = exact.withColumn("text_sha256", F.when(F.col("hit"), F.col("text_sha256")))
+    again = digests.where("hit")
     # SHA-256 decides equality; the written groups let a hot text's rows be split in the join below.
     groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("top"), F.count("*").alias("size")).where("size > 1"), "dedup-groups")
     matched = again.join(small(groups, 120), "text_sha256", "left")
     size = F.coalesce(F.col("size"), F.lit(1)).cast("long")
     found = matched.select("doc_id", F.coalesce(F.col("top"), F.col("doc_id")).alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(F.coalesce(F.col("top"), F.col("doc_id"))).alias("kept"), "text_sha256")
-    alone = digests.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = digests.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return found.unionByName(alone)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each group of equal texts.
 
-    Rows without a doc_id go if their text has a row with one; in groups where no row has one, all stay.
+    A row goes by its id together with its text, so another text under the same id stays. Rows without a doc_id
+    go if their text has a row with one; in groups where no row has one, all stay.
     """
-    from millrace.llm.tables import without
-
-    verdict = exact_duplicates(docs)
-    named = without(docs.where("doc_id is not null"), written(verdict.where("not kept and doc_id is not null").select("doc_id"), "dedup-dropped"))
-    copies = written(verdict.where("not kept and doc_id is null").select(F.col("text_sha256").alias("_digest")).distinct(), "dedup-unnamed")
-    unnamed = docs.where("doc_id is null").withColumn("_digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return named.unionByName(unnamed.join(small(copies, 100), "_digest", "left_anti").drop("_digest"))
+    verdict = exact_duplicates(docs).where("not kept")
+    mark = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    named = without(docs.where("doc_id is not null"), written(verdict.where("doc_id is not null").select("doc_id", F.col("text_sha256").alias("mark")).distinct(), "dedup-dropped"), mark)
+    own = free_name(docs, "_digest")
+    copies = written(verdict.where("doc_id is null").select(F.col("text_sha256").alias(own)).distinct(), "dedup-unnamed")
+    unnamed = docs.where("doc_id is null").withColumn(own, mark)
+    return named.unionByName(unnamed.join(small(copies, 100), own, "left_anti").drop(own))

@@ -39,15 +39,15 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long), one row per row of docs; a null text counts as empty, fp 0."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), mark (a 64-bit hash of the text), one row per row of docs; a null text counts as empty, fp 0."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "mark"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 def block_layout(n: int, distance: int, per_key: int = 8) -> list[list[tuple[int, int]]]:
@@ -161,29 +161,42 @@ def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, F.col("own")).cast("long") * F.col("chunks") + F.greatest(j, F.col("own")))
     )
     dealt = dealt.withColumn("own", own).select("key", F.explode(pairs).alias("pair"), "fp", "rep")
-    arrow_batches(classes.sparkSession, 20_000)
+    arrow_batches(classes.sparkSession)
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_bucket_links(distance), "a long, b long")
 
 
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The written fingerprints of all rows, and fp, component_id for each fingerprint that a row with an id has."""
+    fps = written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
+    classes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    # Fingerprints themselves are linked: a doc_id with several texts joins no two of them.
+    found = written(connected_components(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), distance), "a", "b"), "simhash-components")
+    of = written(classes.join(small(found, 16), classes["fp"] == found["node"], "left").select("fp", "least", "component"), "simhash-of")
+    first = written(of.where("component is not null").groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
+    return fps, written(of.join(small(first, 16), "component", "left").select("fp", F.coalesce("first", "least").alias("component_id")), "simhash-classes-of")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
     Documents link when their fingerprints differ in distance bits or fewer; equal ones differ in none. Null,
     empty and blank texts have fingerprint zero and link like any other. Rows with a null doc_id are in no
-    class: their component_id is null. Repeated rows give repeated results; an empty table gives none. Texts
-    with one fingerprint count once in the search, so copies of a text cost nothing there.
+    class: their component_id is null. Repeated rows give repeated results, a doc_id with several texts one
+    row for each by its own fingerprint; an empty table gives none. Texts with one fingerprint count once in
+    the search, so copies of a text cost nothing there.
     """
-    fps = written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
-    classes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    found = written(connected_components(fingerprint_links(classes, distance), "a", "b"), "simhash-components")
-    component = classes.join(small(found, 32), classes["rep"] == found["node"], "left")
-    component = written(component.select(F.col("fp"), F.coalesce("component", "rep").alias("component_id")), "simhash-classes-of")
-    out = fps.join(small(component, 32), "fp", "left")
+    fps, component = _classified(docs, id_col, text_col, width, distance)
+    out = fps.join(small(component, 16), "fp", "left")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document, the smallest doc_id, of each component."""
-    verdict = near_duplicates(docs)
-    return without(docs, written(verdict.where("doc_id != component_id").select("doc_id"), "simhash-dropped"))
+    """docs, all columns, with one document, the smallest doc_id, of each component.
+
+    A row goes by its id together with its text, so another text under the same id stays if nothing links to it.
+    Rows without a doc_id stay.
+    """
+    fps, component = _classified(docs, "doc_id", "text", 4, 4)
+    dropped = fps.join(small(component, 16), "fp").where("doc_id != component_id").select("doc_id", "mark").distinct()
+    return without(docs, written(dropped, "simhash-dropped"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
