@@ -7,16 +7,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import connected_components
-from millrace.llm.tables import arrow_batches, small, written
+from millrace.llm.tables import arrow_batches, sampled, small, written
 
 #: Rows of one inverted list that one task compares at a time; a larger list is dealt out in pairs of chunks.
 CHUNK = 1024
+#: Rows from which a list gets lists of its own; vectors that these are fitted on, and vectors for each.
+SPLIT, SPLIT_SAMPLE, PER_LIST = 8192, 8192, 64
+#: Vectors that a margin is calibrated on, at least.
+TRIALS = 1000
+
+
+def borders(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """How far each vector is over the border of each list: from the plane between the list's centroid and that of its own, nearest, list, which is 0 away."""
+    squares = (centroids**2).sum(1)
+    near = squares[None] - 2 * x @ centroids.T
+    own = near.argmin(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * centroids @ centroids.T, 1e-12))
+    return (near - near[np.arange(len(x)), own][:, None]) / (2 * apart[own])
 
 
 @dataclass
@@ -28,11 +42,8 @@ class Quantiser:
     margin: float
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        """Bool matrix, vectors by lists: the nearest list, and each whose border, the plane between the two centroids, is within margin."""
-        near = (self.centroids**2).sum(1)[None] - 2 * x @ self.centroids.T
-        own = near.argmin(1)
-        apart = np.sqrt(np.maximum(((self.centroids**2).sum(1)[:, None] + (self.centroids**2).sum(1)[None] - 2 * self.centroids @ self.centroids.T), 1e-12))
-        return (near - near[np.arange(len(x)), own][:, None]) / (2 * apart[own]) <= self.margin
+        """Bool matrix, vectors by lists: the nearest list, and each whose border is within margin."""
+        return borders(x, self.centroids) <= self.margin
 
     def tables(self, residuals: np.ndarray) -> np.ndarray:
         """Squared distances, vectors by subspaces by codewords."""
@@ -52,23 +63,51 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
-def fit(sample: np.ndarray, n: int, threshold: float, seed: int = 1) -> Quantiser:
-    """From unit vectors, a sample of n: a list for about 64 vectors, 4096 at most, and up to 16 subspaces of 256 codewords.
+def margin_for(sample: np.ndarray, centroids: np.ndarray, reach: float, recall: float) -> float:
+    """The margin at which pairs as far apart as links may be share a list: all of them for a recall of 1, this share of trial pairs else.
 
-    Vectors at the threshold's distance r differ by about r / sqrt(dimension) across any one border; one and a
-    quarter times that, on both sides, is the margin of double filing: two such vectors then share a list in 99 of
-    100 cases, closer ones nearly always.
+    Between two linked vectors lies their midpoint, half of reach from each: at a margin of half of reach both
+    are filed in the midpoint's list, so no pair is lost. Most data need far less, as only the part of a
+    difference across a border counts. How large that is depends on the data's inner dimension, so trial pairs
+    lie along the differences of the sample's own neighbours, stretched or shrunk to reach; those of neighbours
+    within twice the reach are held to the recall once more by themselves. Samples too small for such trials
+    take half of reach.
     """
+    most = reach / 2
+    if recall < 1 and len(sample) >= TRIALS:
+        trial = sample[:: max(1, len(sample) // 8192)]
+        squares = (sample**2).sum(1)
+        need, far = [], []
+        for k in range(0, len(trial), 512):
+            x = trial[k : k + 512]
+            distance = squares[None] - 2 * x @ sample.T + (x**2).sum(1)[:, None]
+            distance[distance < 1e-10] = np.inf  # itself, and what cannot be told from it
+            y = distance.argmin(1)
+            apart = distance[np.arange(len(x)), y]
+            x, step, apart = x[np.isfinite(apart)], (sample[y] - x)[np.isfinite(apart)], np.sqrt(apart[np.isfinite(apart)])
+            if len(x):
+                half = step * (most / apart)[:, None]
+                need.append(np.maximum(borders(x - half, centroids), borders(x + half, centroids)).min(1))
+                far.append(apart)
+        if need:
+            needs, aparts = np.concatenate(need), np.concatenate(far)
+            close = needs[aparts <= 2 * reach]
+            most = min(most, max(np.quantile(n, recall) for n in (needs, close) if len(n)))
+    return float(most) + 1e-4
+
+
+def fit(sample: np.ndarray, n: int, threshold: float, recall: float = 0.999, seed: int = 1) -> Quantiser:
+    """From unit vectors, a sample of n: a list for about 64 vectors, as far as the sample reaches, and up to 16 subspaces of 256 codewords."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    k = int(max(1, min(4096, n // 64, len(sample) // 8)))
+    k = int(max(1, min(n // PER_LIST, len(sample) // 8)))
     centroids = _kmeans(sample, k, 8, rng)
     own = ((centroids**2).sum(1)[None] - 2 * sample @ centroids.T).argmin(1)
     residuals = sample - centroids[own]
     m = next(p for p in (16, 8, 4, 2, 1) if dim % p == 0)
     words = min(256, len(sample))
     books = np.stack([_kmeans(np.ascontiguousarray(part), words, 6, rng) for part in residuals.reshape(len(sample), m, dim // m).transpose(1, 0, 2)])
-    return Quantiser(centroids, books, 1.25 * float(np.sqrt(2 - 2 * threshold)) / float(np.sqrt(dim)))
+    return Quantiser(centroids, books, margin_for(sample, centroids, float(np.sqrt(2 - 2 * threshold)), recall))
 
 
 def _read(raw: list[bytes], width: str) -> np.ndarray:
@@ -82,7 +121,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _keyed(vectors: DataFrame, id_col: str, vector_col: str, width: str) -> DataFrame:
     """vec_id, dim, key, vec: dim 0 for vectors that link with nothing."""
-    arrow_batches(vectors.sparkSession, 5000)
+    arrow_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,7 +142,7 @@ def _keyed(vectors: DataFrame, id_col: str, vector_col: str, width: str) -> Data
 
 def _filed(classes: DataFrame, quantiser: Quantiser, width: str) -> DataFrame:
     """list, lists, rep, n, vec: each class once for each list that it is filed in."""
-    arrow_batches(classes.sparkSession, 2000)
+    arrow_batches(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,13 +156,24 @@ def _filed(classes: DataFrame, quantiser: Quantiser, width: str) -> DataFrame:
     return classes.select("rep", "n", "vec").mapInArrow(run, "list int, lists array<int>, rep long, n long, vec binary")
 
 
+def _first_shared(sets: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows, the first member of a's set that is in b's; each pair shares one."""
+    most = max(map(len, sets))
+    padded = np.array([x + [-1 - k] * (most - len(x)) for k, x in enumerate(sets)])
+    first = np.empty(len(a), dtype=np.int64)
+    for c in range(0, len(a), 8192):
+        shared = padded[a[c : c + 8192]][:, :, None] == padded[b[c : c + 8192]][:, None, :]
+        first[c : c + 8192] = np.take_along_axis(padded[a[c : c + 8192]], shared.any(2).argmax(1)[:, None], 1)[:, 0]
+    return first
+
+
 def _list_links(quantiser: Quantiser, threshold: float, width: str):
-    """For sorted rows (list, i, j, own, lists, rep, n, vec): a, b, n by row with links in this pair of chunks: itself, the smallest row it reaches here, the vectors it links with here."""
+    """For sorted rows (list, sub, i, j, own, lists, subs, rep, n, vec): a, b, n by row with links in this pair of chunks: itself, the smallest row it reaches here, the vectors it links with here."""
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-3
 
-    def links(place: int, i: int, j: int, rows: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own, lists, rep, n = np.array(rows[0]), rows[1], np.array(rows[2], dtype=np.int64), np.array(rows[3], dtype=np.int64)
-        exact = _unit(_read(rows[4], width))
+    def links(place: int, sub: int, i: int, j: int, rows: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, lists, subs, rep, n = np.array(rows[0]), rows[1], rows[2], np.array(rows[3], dtype=np.int64), np.array(rows[4], dtype=np.int64)
+        exact = _unit(_read(rows[5], width))
         residual = exact.astype(np.float32) - quantiser.centroids[place]
         tables = quantiser.tables(residual)
         codes = tables.argmin(2)
@@ -148,13 +198,8 @@ def _list_links(quantiser: Quantiser, threshold: float, width: str):
         a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
         if len(a):
             # A pair that shares several lists counts in the first of them.
-            most = max(map(len, lists))
-            padded = np.array([x + [-1 - k] * (most - len(x)) for k, x in enumerate(lists)])
-            first = np.empty(len(a), dtype=np.int64)
-            for c in range(0, len(a), 8192):
-                shared = padded[a[c : c + 8192]][:, :, None] == padded[b[c : c + 8192]][:, None, :]
-                first[c : c + 8192] = np.take_along_axis(padded[a[c : c + 8192]], shared.any(2).argmax(1)[:, None], 1)[:, 0]
-            a, b = a[first == place], b[first == place]
+            first = (_first_shared(lists, a, b) == place) & (_first_shared(subs, a, b) == sub)
+            a, b = a[first], b[first]
         count = np.bincount(a, weights=n[b], minlength=len(rep)) + np.bincount(b, weights=n[a], minlength=len(rep))
         label = rep.copy()
         while len(a):
@@ -168,45 +213,109 @@ def _list_links(quantiser: Quantiser, threshold: float, width: str):
         return rep[some], label[some], count[some].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, [[] for _ in range(5)]
+        key, rows = None, [[] for _ in range(6)]
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            for new, *values in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
+            for new, *values in zip(zip(*columns[:4], strict=True), *columns[4:], strict=True):
                 if new != key:
-                    if len(rows[2]) > 1:
+                    if len(rows[3]) > 1:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(*key, rows)], ["a", "b", "n"])
-                    key, rows = new, [[] for _ in range(5)]
+                    key, rows = new, [[] for _ in range(6)]
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
-        if len(rows[2]) > 1:
+        if len(rows[3]) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(*key, rows)], ["a", "b", "n"])
 
     return run
 
 
-def _search(classes: DataFrame, threshold: float, width: str, sample_rows: int) -> DataFrame:
-    """a, b, n over all lists for classes(rep, n, vec) of one dimension, written."""
+def _fit_list(reach: float, recall: float, width: str):
+    """For a sample of one large list (list, size, vec): centroids of its own lists and their margin; no row if these would not save three quarters of the comparisons, as among vectors that are all alike."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(_read(rows["vec"].tolist(), width)).astype(np.float32)
+        k = int(min(rows["size"].iloc[0] // PER_LIST, len(x) // 8))
+        centroids = _kmeans(x, k, 8, np.random.default_rng(1)) if k > 1 else x[:1]
+        margin = margin_for(x, centroids, reach, recall)
+        filed = (borders(x, centroids) <= margin).sum(0).astype(np.float64)
+        keep = k > 1 and (filed**2).sum() <= len(x) ** 2 / 4
+        return pd.DataFrame({"list": rows["list"].iloc[:1], "margin": [margin], "centroids": [centroids.astype("<f4").tobytes()]})[: int(keep)]
+
+    return run
+
+
+def _file_again(width: str):
+    """For sorted rows, a head with a list's centroids before its vectors: each vector once for each of the list's own lists that it is filed in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["list", "sub", "lists", "subs", "rep", "n", "vec"]
+        centroids, margin = None, 0.0
+        for b in batches:
+            head = b.column(2).to_numpy(zero_copy_only=False) == 0
+            cuts = [0, *np.flatnonzero(head).tolist(), b.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start < end and head[start]:
+                    centroids, margin = b.column(4)[start].as_py(), b.column(3)[start].as_py()
+                    start += 1
+                if start == end:
+                    continue
+                part = b.slice(start, end - start)
+                x = _unit(_read(part.column(8).to_pylist(), width)).astype(np.float32)
+                row, place = np.nonzero(borders(x, np.frombuffer(centroids, "<f4").reshape(-1, x.shape[1])) <= margin)
+                subs = pa.array(np.split(place.astype(np.int32), np.flatnonzero(np.diff(row)) + 1), pa.list_(pa.int32()))
+                at = pa.array(row)
+                of = [part.column(k).take(at) for k in (0, 5, 6, 7, 8)]
+                yield pa.RecordBatch.from_arrays([of[0], pa.array(place.astype(np.int32)), of[1], subs.take(at), *of[2:]], names)
+
+    return run
+
+
+def _split(filed: DataFrame, reach: float, recall: float, width: str) -> DataFrame:
+    """filed with sub and subs: where a list has SPLIT rows or more, it gets lists of its own, so lists stay short as the vectors become more; elsewhere the one sub is 0."""
+    one = F.lit(0).cast("int")
+    whole = filed.select("list", one.alias("sub"), "lists", F.array(one).alias("subs"), "rep", "n", "vec")
+    large = written(filed.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT), "vector-split-sizes")
+    if large.isEmpty():
+        return whole
+    spread = 1 << 30
+    some = filed.join(small(large, 16), "list").where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(spread)) < F.lit(1.2 * SPLIT_SAMPLE * spread) / F.col("size"))
+    heads = written(some.select("list", "size", "vec").groupBy("list").applyInPandas(_fit_list(reach, recall, width), "list int, margin double, centroids binary"), "vector-split-heads")
+    parts = written(large.join(small(heads.select("list"), 16), "list").select("list", F.ceil(F.col("size") / 65536).cast("int").alias("parts")), "vector-split-parts")
+    first = heads.join(small(parts, 16), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), one.alias("head"), "margin", "centroids", *[F.lit(None).cast(t).alias(c) for c, t in filed.drop("list").dtypes])
+    rest = filed.join(small(parts, 16), "list").select("list", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("head"), F.lit(None).cast("double").alias("margin"), F.lit(None).cast("binary").alias("centroids"), "lists", "rep", "n", "vec")
+    again = first.unionByName(rest).repartition("list", "part").sortWithinPartitions("list", "part", "head")
+    again = again.mapInArrow(_file_again(width), "list int, sub int, lists array<int>, subs array<int>, rep long, n long, vec binary")
+    return written(whole.join(small(parts, 16), "list", "left_anti").unionByName(again), "vector-sub-lists")
+
+
+def _search(classes: DataFrame, threshold: float, width: str, sample_rows: int, recall: float) -> DataFrame:
+    """a, b, n over all lists for the written classes(rep, n, vec) of one dimension, written."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("vec").toPandas()["vec"].tolist()
-    quantiser = fit(_unit(_read(sample, width)).astype(np.float32), classes.count(), threshold)
-    filed = written(_filed(classes, quantiser, width), "vector-lists")
-    sizes = written(filed.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK), "vector-large-lists")
-    dealt = filed.join(small(sizes, 16), "list", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / CHUNK).cast("int"), F.lit(1)))
+    arrow_batches(spark)
+    sample = sampled(classes, "rep", sample_rows).select("vec").toPandas()["vec"].tolist()
+    quantiser = fit(_unit(_read(sample, width)).astype(np.float32), classes.count(), threshold, recall)
+    filed = _split(written(_filed(classes, quantiser, width), "vector-lists"), float(np.sqrt(2 - 2 * threshold)), recall, width)
+    sizes = written(filed.groupBy("list", "sub").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK), "vector-large-lists")
+    dealt = filed.join(small(sizes, 24), ["list", "sub"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / CHUNK).cast("int"), F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("list", "own", "lists", "rep", "n", "vec", other.alias("other"))
-    dealt = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "lists", "rep", "n", "vec")
-    arrow_batches(spark, 2000)
-    return written(dealt.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_list_links(quantiser, threshold, width), "a long, b long, n long"), "vector-links")
+    rows = ["lists", "subs", "rep", "n", "vec"]
+    dealt = dealt.select("list", "sub", "own", *rows, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("list", "sub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rows)
+    key = ["list", "sub", "i", "j"]
+    return written(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_list_links(quantiser, threshold, width), "a long, b long, n long"), "vector-links")
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample_rows: int = 20_000) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample_rows: int = 20_000, recall: float = 0.9999) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors of one dimension link when their cosine, in double precision, is threshold or more. Identical ones
     are searched as one. A vector is filed in its nearest inverted list and in those whose border is near; the
-    lists and codebooks come from at most sample_rows vectors, a documented bound, and every vector is filed.
-    Pairs are found in shared lists: a few that share none can be missed, none below the threshold is reported.
+    lists and codebooks come from at most sample_rows vectors (fewer if they would take over 128 MB), a
+    documented bound, and every vector is filed. A list with many vectors gets lists of its own in the same way,
+    from a sample of itself. Pairs are found in shared lists, none below the threshold is reported. How near is
+    near is calibrated to recall, on pairs at the threshold, closer ones being surer; with recall = 1 no pair is
+    lost, at the price of more lists for each vector (see margin_for). A dense crowd that no lists split is
+    compared by pairs of chunks: whole, by bounded tasks, with the square of its size.
     Null and zero vectors, and those with null or non-finite components, link with nothing, and so do rows
     without a vec_id. Repeated rows count as further vectors; an empty table gives no rows.
     """
@@ -217,7 +326,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = written(valid.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vector-classes")
     found = None
     for row in classes.select("dim").distinct().orderBy("dim").collect():  # as many as there are vector lengths
-        own = _search(classes.where(F.col("dim") == row["dim"]), threshold, width, sample_rows)
+        rows = max(1, min(sample_rows, (128 << 20) // (8 * row["dim"])))
+        own = _search(classes.where(F.col("dim") == row["dim"]), threshold, width, rows, recall)
         found = own if found is None else found.unionByName(own)
     rest = keyed if found is None else keyed.where("dim = 0 or vec_id is null")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -225,7 +335,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return alone
     counted = written(found.groupBy("a").agg(F.sum("n").alias("links")), "vector-counts")
     components = written(connected_components(found, "a", "b"), "vector-components")
-    of_class = classes.join(small(counted, 32), classes["rep"] == counted["a"], "left").join(small(components, 32), classes["rep"] == components["node"], "left")
+    of_class = classes.join(small(counted, 24), classes["rep"] == counted["a"], "left").join(small(components, 24), classes["rep"] == components["node"], "left")
     of_class = written(of_class.select("dim", "key", (F.coalesce(F.col("links"), F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce(F.col("component"), F.col("rep")).alias("component_id")), "vector-classes-of")
     linked = valid.select("vec_id", "dim", "key").join(small(of_class, 64), ["dim", "key"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
