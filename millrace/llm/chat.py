@@ -122,15 +122,10 @@ def _all_layouts() -> T.StructType:
     return out
 
 
-def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """conv_id, turn, role, text from JSON records of mixed layouts, each row by its own fingerprint.
-
-    A field counts by being there, whatever its value; a null one is an empty text. Should known fields be there
-    that no layout has together, the layout with the most paths among them counts, as in turns_of_table. A record
-    that is null, broken or without all fields of any layout has no turns.
-    """
-    record = F.col(f"`{json_col}`")
-    parsed = df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.from_json(record, _all_layouts()).alias("r"), F.from_json(record, "map<string,string>").alias("keys"))
+def _marked(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """conv_id, record, r (its known fields), keys, paths, print (the layout's fingerprint, null where no layout fits)."""
+    record = F.col(f"`{json_col}`").cast("string")
+    parsed = df.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), record.alias("record"), F.from_json(record, _all_layouts()).alias("r"), F.from_json(record, "map<string,string>").alias("keys"))
     lists = sorted({layout.messages for layout in LAYOUTS if layout.messages})
     parsed = parsed.withColumns({f"in_{name}": F.flatten(F.transform(F.from_json(F.element_at("keys", name), "array<map<string,string>>"), lambda m: F.coalesce(F.map_keys(m), F.array()))) for name in lists})
 
@@ -146,9 +141,24 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     marked = parsed.withColumn("paths", F.array_compact(F.array(*map(present, KNOWN_PATHS))))
     own = F.sha2(F.array_join("paths", "\n"), 256)
     held = [F.when(F.size(F.array_except(F.array(*map(F.lit, layout.paths)), F.col("paths"))) == 0, F.lit(fingerprint(layout.paths))) for layout in WIDEST_FIRST]
-    marked = marked.withColumn("print", F.coalesce(F.when(own.isin(*BY_FINGERPRINT), own), *held))
+    return marked.withColumn("print", F.coalesce(F.when(own.isin(*BY_FINGERPRINT), own), *held))
+
+
+def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """conv_id, turn, role, text from JSON records of mixed layouts, each row by its own fingerprint.
+
+    A field counts by being there, whatever its value; a null one is an empty text. Should known fields be there
+    that no layout has together, the layout with the most paths among them counts, as in turns_of_table. A record
+    that is null, broken or without all fields of any layout has no turns: unmatched lists these.
+    """
     turns = F.coalesce(*[F.when(F.col("print") == key, _turns(layout, "r")) for key, layout in BY_FINGERPRINT.items()])
-    return marked.select("conv_id", F.explode(turns).alias("one")).select("conv_id", "one.turn", "one.role", "one.text")
+    return _marked(df, id_col, json_col).select("conv_id", F.explode(turns).alias("one")).select("conv_id", "one.turn", "one.role", "one.text")
+
+
+def unmatched(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """conv_id, record, fields, print of each JSON record that turns_of_json finds no layout for: its own field names, sorted, and their fingerprint, so that a layout can be declared. Both are null for a null or broken record."""
+    fields = F.array_sort(F.map_keys("keys"))
+    return _marked(df, id_col, json_col).where("print is null").select("conv_id", "record", fields.alias("fields"), F.sha2(F.array_join(fields, "\n"), 256).alias("print"))
 
 
 #: A turn is <|role|>, a line feed, the text, the end mark and a line feed. In texts and roles & < [ | are written as references, so no mark can stand there.
