@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -79,8 +80,8 @@ DIGIT_NAMES = {
 TOP_LABELS = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|app|dev|de|fr|es|uk|it|nl|ch|at|be|eu|us|ca|mx|ar|br|example|test|invalid|local"
 
 _NAME = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*")
+_BRACKET_AT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]")
+_BRACKET_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]")
 _SPACED = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:at|arobase|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*)[A-Za-z0-9-]+)*?(?:\s+(?:dot|point|punkt|punto)\s+|\.)(?:{TOP_LABELS})(?![\w-])")
 _AT_WORD = re.compile(r"(?i)\s+(?:at|arobase|arroba)\s+|\s*@\s*")
 _DOT_WORD = re.compile(r"(?i)\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*")
@@ -153,10 +154,18 @@ def spelled_digits(tape: Tape) -> None:
 
 
 def disguised_signs(tape: Tape) -> None:
-    """Bracketed at and dot become signs; spaced-out ones only inside what then is an address with a known last label."""
-    edits = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(tape.text)]
-    edits += [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(tape.text)]
-    tape.rewrite(sorted(edits))
+    """Bracketed at and dot become signs, the white space around them with them; spaced-out ones only inside what then is an address with a known last label."""
+    text = tape.text
+    found = sorted([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)])
+    edits, done = [], 0
+    for s, e, sign in found:
+        while s > done and text[s - 1].isspace():
+            s -= 1
+        while e < len(text) and text[e].isspace():
+            e += 1
+        edits.append((s, e, sign))
+        done = e
+    tape.rewrite(edits)
     edits = []
     for m in _SPACED.finditer(tape.text):
         edits.append((m.start("at"), m.end("at"), "@"))
@@ -188,10 +197,16 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     if tape.text == text:
         return []
     out: list[Span] = []
+    # Spans of one kind do not overlap, and rewriting keeps their order: each can only touch the base span before or behind it, or the last added.
+    plain = {k: [(a, b) for a, b, kind in base if kind == k] for k in range(len(KINDS))}
+    last = [0] * len(KINDS)
     for s, e, kind in base_spans(tape.text):
         start, end = tape.source(s, e)
-        if not any(k == kind and a < end and start < b for a, b, k in base + out):
+        at = bisect_left(plain[kind], (start, start))
+        touched = any(a < end and start < b for a, b in plain[kind][max(0, at - 1) : at + 1])
+        if not touched and start >= last[kind]:
             out.append((start, end, kind))
+            last[kind] = end
     return out
 
 
