@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import arrow_batches, texts, written
+from millrace.llm.tables import arrow_batches, sampled, texts, written
 from millrace.llm.wordbpe import TwoGenerations
 
-#: Symbols: N negation, R reported speech, T target, M intent, V violence, I insult, O any other word; a full stop ends a clause, " begins or ends a quotation.
+#: Symbols: N negation, R reported speech, T target, M intent, V violence, I insult, O any other word; a full stop ends a clause, ( begins and ) ends a quotation, " does either.
 #: The closed classes of English, German, French and Spanish.
 CLASSES = {
     "N": "not never no don't isn't aren't wasn't kein keine nicht nie ne pas jamais nunca jamás",
@@ -28,52 +28,74 @@ CLASSES = {
 WORD_CLASS = {w: c for c, words in CLASSES.items() for w in words.split()}
 #: What a clause can be, and its weight before any label is seen: a plain insult, one at a target, a negated one, a reported one, a threat.
 PATTERNS = {"I": 1.0, "A": 1.2, "n": 0.3, "r": 0.5, "H": 1.0}
+#: The weight of a word of violence; marks around words; clauses after which an open quotation counts as closed.
+VIOLENCE, MARKS, QUOTED_CLAUSES = 2.0, ".,;:!?\"'«»„“”()[]{}*#%&|-", 4
+
+Symbol = tuple[str, float]  # with the weight that it carries
 
 
 class Transducer:
-    """Deterministic, over symbols: step(state, symbol) -> (state, symbol put out)."""
+    """Deterministic, over weighted symbols: step(state, symbol) -> (state, symbol put out)."""
 
     start: object = 0
 
-    def step(self, state, symbol: str):
+    def step(self, state, symbol: Symbol):
         raise NotImplementedError
 
 
-class Negation(Transducer):
-    """An insult or threat within three words behind a negation comes out as n."""
+class Window(Transducer):
+    """Behind a word of kind opens, within three words of the clause, symbols of the kinds in turns come out as becomes; otherwise as plainly says."""
+
+    opens, turns, becomes, plainly = "", "", "", {}
 
-    def step(self, state: int, symbol: str):
-        if symbol == "N":
+    def step(self, state: int, symbol: Symbol):
+        kind, weight = symbol
+        if kind == ".":
+            return 0, symbol
+        if kind in '()"':
+            return state, symbol
+        if kind == self.opens:
             return 3, symbol
-        return max(0, state - 1), "n" if state and symbol in "IH" else symbol
+        return max(0, state - 1), (self.becomes if state and kind in self.turns else self.plainly.get(kind, kind), weight)
 
 
-class Reported(Transducer):
-    """Behind a verb of speech, to the clause's end, or within quotation marks, insults and threats come out as r."""
+class Threat(Window):
+    """Violence behind an intent comes out as H, other violence as any word."""
 
-    start = (False, False)
+    opens, turns, becomes, plainly = "M", "V", "H", {"V": "O"}
 
-    def step(self, state: tuple[bool, bool], symbol: str):
-        spoken, quoted = state
-        if symbol == '"':
-            return (spoken, not quoted), symbol
-        return (spoken or symbol == "R", quoted), "r" if (spoken or quoted) and symbol in "IH" else symbol
 
+class Negation(Window):
+    """An insult or threat behind a negation comes out as n."""
 
-class Target(Transducer):
-    """An insult in a clause that has named someone comes out as A."""
+    opens, turns, becomes = "N", "IH", "n"
 
-    def step(self, state: int, symbol: str):
-        return int(state or symbol == "T"), "A" if state and symbol == "I" else symbol
 
+class Reported(Transducer):
+    """Behind a verb of speech, to the clause's end, or within a quotation, insults and threats come out as r.
 
-class Threat(Transducer):
-    """Violence within three words behind an intent comes out as H, other violence as any word."""
+    A mark that closes opens nothing (12" is no quotation), and one that nothing closes ends after QUOTED_CLAUSES clauses.
+    """
 
-    def step(self, state: int, symbol: str):
-        if symbol == "M":
-            return 3, symbol
-        return max(0, state - 1), ("H" if state else "O") if symbol == "V" else symbol
+    start = (False, 0)
+
+    def step(self, state: tuple[bool, int], symbol: Symbol):
+        (spoken, quoted), (kind, weight) = state, symbol
+        if kind == ".":
+            return (False, max(0, quoted - 1)), symbol
+        if kind in '()"':
+            return (spoken, QUOTED_CLAUSES if kind == "(" or (kind == '"' and not quoted) else 0), symbol
+        return (spoken or kind == "R", quoted), ("r", weight) if (spoken or quoted) and kind in "IH" else symbol
+
+
+class Target(Transducer):
+    """An insult in a clause that has named someone comes out as A."""
+
+    def step(self, state: int, symbol: Symbol):
+        kind, weight = symbol
+        if kind == ".":
+            return 0, symbol
+        return int(state or kind == "T"), ("A", weight) if state and kind == "I" else symbol
 
 
 class Composed:
@@ -82,7 +104,7 @@ class Composed:
     def __init__(self, *machines: Transducer):
         self.machines, self.start, self.known = machines, tuple(m.start for m in machines), {}
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, str]:
+    def step(self, state: tuple, symbol: Symbol) -> tuple[tuple, Symbol]:
         found = self.known.get((state, symbol))
         if found is None:
             given, after = symbol, []
@@ -93,70 +115,123 @@ class Composed:
         return found
 
 
+class Insult:
+    """The weighted transducer over letters: a word that a learned stem begins comes out as I with the stem's weight, other words by their class.
+
+    Its states are the stems' letters so far; a state holds the largest weight of the stems that end on the way to it.
+    """
+
+    def __init__(self, stems: dict[str, float]):
+        self.after: list[dict[str, int]] = [{}]
+        self.weight, self.whole = [0.0], [0.0]
+        for stem, weight in sorted(stems.items(), key=lambda item: len(item[0].rstrip("$"))):
+            at = 0
+            for letter in stem.rstrip("$"):
+                if letter not in self.after[at]:
+                    self.after[at][letter] = len(self.after)
+                    self.after.append({})
+                    self.weight.append(self.weight[at])
+                    self.whole.append(0.0)
+                at = self.after[at][letter]
+            if stem.endswith("$"):
+                self.whole[at] = max(self.whole[at], weight)
+            else:
+                self.weight[at] = max(self.weight[at], weight)
+
+    def read(self, word: str) -> Symbol:
+        at = 0
+        for letter in word:
+            after = self.after[at].get(letter)
+            if after is None:
+                best = self.weight[at]
+                break
+            at = after
+        else:
+            best = max(self.weight[at], self.whole[at])
+        if best:
+            return "I", best
+        kind = WORD_CLASS.get(word, "O")
+        return kind, VIOLENCE if kind == "V" else 0.0
+
+
 @dataclass
 class Grammar:
-    """stems: learned beginnings of insults ("word" + "$": the whole word) with weights; weights: the clause patterns' share of a stem's weight; scale, bias: of the score."""
+    """stems: learned beginnings of insults ("word" + "$": the whole word) with weights; weights: the clause patterns' share of a stem's weight; bias: of the score."""
 
     stems: dict[str, float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.array(list(PATTERNS.values())))
     bias: float = -2.0
 
     def __post_init__(self) -> None:
+        self.insult = Insult(self.stems)
         self.machine = Composed(Threat(), Negation(), Reported(), Target())
-        self.symbols = TwoGenerations(self._symbol, 300_000)
-        self.longest = max(map(len, self.stems), default=0)
-
-    def stem(self, word: str) -> float:
-        """The largest weight of the stems that word begins with."""
-        best = self.stems.get(word + "$", 0.0)
-        for k in range(3, min(len(word), self.longest) + 1):
-            best = max(best, self.stems.get(word[:k], 0.0))
-        return best
-
-    def _symbol(self, token: str) -> str:
-        word = token.strip(".,;:!?\"'«»„“”()[]{}*#%&|-")
-        own = "I" if self.stem(word) else WORD_CLASS.get(word, "O") if word else ""
-        opening, closing = token[: len(token) - len(token.lstrip("\"«„“"))], token[len(token.rstrip(".,;:!?\"»”“")) :]
-        return '"' * bool(opening) + own + '"' * any(c in '"»”“' for c in closing) * bool(word) + "." * any(c in ".;!?" for c in closing)
+        self.tuples: list[tuple[Symbol, ...]] = []
+        self.number: dict[tuple[Symbol, ...], int] = {}
+        self.telling: set[int] = set()
+        self.numbers = TwoGenerations(self._number, 300_000)
+
+    def _number(self, token: str) -> int:
+        """The place in tuples of what the token is; telling holds those with an insult or violence."""
+        own = self._symbols(token)
+        if own not in self.number:
+            self.number[own] = len(self.tuples)
+            if any(kind in "IV" for kind, _ in own):
+                self.telling.add(len(self.tuples))
+            self.tuples.append(own)
+        return self.number[own]
+
+    def _symbols(self, token: str) -> tuple[Symbol, ...]:
+        """A token's word and the marks around it."""
+        word = token.strip(MARKS)
+        lead, trail = (token[: len(token) - len(token.lstrip(MARKS))], token[len(token.rstrip(MARKS)) :]) if word else (token, token)
+        if word:
+            opens, closes = ["("] * any(c in '"«„“' for c in lead), [")"] * any(c in '"»”“' for c in trail)
+        else:
+            opens, closes = ['"'] * ('"' in token) or ["("] * any(c in "«„" for c in token), [")"] * any(c in "»”" for c in token)
+        own = [self.insult.read(word)] if word else []
+        return (*((c, 0.0) for c in opens), *own, *((c, 0.0) for c in closes), *[(".", 0.0)] * any(c in ".;!?" for c in trail))
 
     def clauses(self, text: str) -> np.ndarray:
-        """For each pattern the sum, over clauses, of the largest stem weight that it holds there."""
-        total = np.zeros(len(PATTERNS))
-        tokens = text.lower().replace("\n", " ").split(" ")
-        symbols = list(map(self.symbols.__getitem__, tokens))
-        line = "".join(symbols)
-        if "I" not in line and "V" not in line:
-            return total
-        order = list(PATTERNS)
-        state, best = self.machine.start, {}
-        for token, made in zip(tokens, symbols, strict=True):
-            for symbol in made:
-                if symbol == ".":
-                    for kind, weight in best.items():
-                        total[order.index(kind)] += weight
-                    # Quotations go on behind a full stop, all else begins anew.
-                    state, best = (*self.machine.start[:2], (False, state[2][1]), *self.machine.start[3:]), {}
-                    continue
-                state, out = self.machine.step(state, symbol)
-                if out in PATTERNS:
-                    weight = 2.0 if symbol == "V" else self.stem(token.strip(".,;:!?\"'«»„“”()[]{}*#%&|-"))
-                    best[out] = max(best.get(out, 0.0), weight)
-        for kind, weight in best.items():
-            total[order.index(kind)] += weight
-        return total
+        """For each pattern, over all clauses, the sum of the largest weight that it carries there."""
+        total = dict.fromkeys(PATTERNS, 0.0)
+        numbers = list(map(self.numbers.__getitem__, text.lower().split()))
+        if self.telling.isdisjoint(numbers):
+            return np.zeros(len(PATTERNS))
+        state, best, step, tuples = self.machine.start, {}, self.machine.step, self.tuples
+        for symbol in (one for k in numbers for one in tuples[k]):
+            state, (kind, weight) = step(state, symbol)
+            if kind == ".":
+                for pattern, most in best.items():
+                    total[pattern] += most
+                best = {}
+            elif kind in PATTERNS:
+                best[kind] = max(best.get(kind, 0.0), weight)
+        for pattern, most in best.items():
+            total[pattern] += most
+        return np.array(list(total.values()))
 
     def score(self, text: str) -> float:
-        x = float(np.minimum(self.clauses(text), 20.0) @ self.weights) + self.bias
+        x = float(evidence(self.clauses(text)) @ self.weights) + self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def evidence(clauses: np.ndarray) -> np.ndarray:
+    """Every clause counts, each further one less: the first few hardly less than whole."""
+    return 20.0 * np.log1p(clauses / 20.0)
+
+
+#: Letters of the shortest and the longest stem; a longer word is met by its first letters, or whole.
+STEM_LETTERS = (3, 8)
+
+
 def _beginnings(text: str) -> set[str]:
-    """What a stem may be: each word's first three to eight letters, and the word."""
+    """What a stem may be: each word's first letters, as many as STEM_LETTERS says, and the word."""
+    least, most = STEM_LETTERS
     out: set[str] = set()
-    for w in {t.strip(".,;:!?\"'«»„“”()[]{}*#%&|-") for t in text.lower().split()}:
-        if len(w) >= 3 and w not in WORD_CLASS:
+    for w in {t.strip(MARKS) for t in text.lower().split()}:
+        if len(w) >= least and w not in WORD_CLASS:
             out.add(w + "$")
-            out.update(w[:k] for k in range(3, min(8, len(w)) + 1))
+            out.update(w[:k] for k in range(least, min(most, len(w)) + 1))
     return out
 
 
@@ -168,13 +243,13 @@ def _signatures(text: str) -> list[int]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """text, toxic of at most sample_rows labelled training rows, taken in the order of a hash of their ids, then one of each set of near copies.
+    """text, toxic of at most sample_rows labelled training rows, those with the least hashes of their ids, one row for each id, then one of each set of near copies with one label.
 
     Copies of one toxic text would make all of its words look toxic.
     """
     known = labels.where("toxic is not null and doc_id is not null and not (crc32(cast(cast(doc_id as string) as binary)) % 5 = 0)")
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = written(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxicity-labels")
+    chosen = sampled(known, "doc_id", sample_rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,33 +257,25 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(signs[:, k]) for k in range(3))], ["doc_id", "text", "toxic", "s0", "s1", "s2"])
 
     # The bound of what is broadcast is sample_rows.
-    signed = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(sign, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long")
-    rows = written(signed, "toxicity-sample")
-    ids = rows.select("doc_id", "s0", "s1", "s2")
+    labelled = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    rows = written(labelled.mapInArrow(sign, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long"), "toxicity-sample")
+    ids = rows.select("doc_id", "toxic", "s0", "s1", "s2")
     for k in range(3):
-        ids = ids.groupBy(f"s{k}").agg(F.min(F.struct("doc_id", "s0", "s1", "s2")).alias("one")).select("one.*")
+        ids = ids.groupBy(f"s{k}", "toxic").agg(F.min(F.struct("doc_id", "s0", "s1", "s2")).alias("one")).select("toxic", "one.*")
     return rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
 
 
-def _chance(hits: int, tries: int, rate: float) -> float:
-    """Upper bound of the chance that hits or more of tries hit at this rate (Chernoff)."""
-    share = hits / tries
-    if share <= rate:
-        return 1.0
-    gain = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
-    return math.exp(-tries * gain)
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_stems: int = 4000, by_chance: float = 1e-6) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, by_chance: float = 1e-6) -> Grammar:
     """Fit a Grammar on a sample of at most sample_rows labelled rows, a documented bound; rows whose crc32(doc_id) mod 5 is 0 are never used.
 
-    Stems are beginnings of words that toxic rows have and clean ones hardly: their weight is the logarithm of
-    the smoothed ratio of the two rates, and chance makes as uneven a split with less than by_chance. Pattern weights and the bias are a logistic regression drawn to the
-    weights that PATTERNS states, so patterns that labels never show keep those. No labels: no stems, and
-    scores from the stated weights alone.
+    Stems are beginnings of words that three toxic rows at least have and clean ones hardly: their weight is the
+    logarithm of the smoothed ratio of the two rates, and chance makes as uneven a split with less than by_chance
+    (Chernoff's bound); all such stems of the sample are taken. Pattern weights and the bias are a logistic
+    regression drawn to the weights that PATTERNS states, so patterns that labels never show keep those. No
+    labels: no stems, and scores from the stated weights alone.
     """
     arrow_batches(docs.sparkSession)
-    sample = _sample(docs, labels, sample_rows)
+    sample = written(_sample(docs, labels, sample_rows), "toxicity-rows")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
@@ -222,24 +289,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_ste
         yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([toxic[s] for s in stems], pa.int64()), pa.array([clean[s] for s in stems], pa.int64())], ["stem", "toxic", "clean"])
 
     counted = sample.mapInArrow(tally, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # The empty stem counts rows. Stems that toxic rows hardly favour stay behind; of the rest the strongest max_stems come.
-    ratio = (F.col("toxic") + 0.1) / (F.col("toxic") + F.col("clean") * 4 + 1)
-    strong = counted.where((F.col("stem") == "") | ((F.col("toxic") >= 3) & (F.col("clean") * 8 <= F.col("toxic"))))
-    rows = strong.orderBy(F.col("stem") != "", -F.col("toxic") * ratio, "stem").limit(max_stems + 1).collect()
-    totals = next(((r["toxic"], r["clean"]) for r in rows if r["stem"] == ""), (0, 0))
-    rate = max(totals[0], 1) / max(sum(totals), 1)
-    likely = [r for r in rows if r["stem"] and _chance(r["toxic"], r["toxic"] + r["clean"], min(rate, 0.5)) < by_chance]
-    stems = {r["stem"]: w for r in likely if (w := math.log((r["toxic"] + 0.1) / (totals[0] + 1) / ((r["clean"] + 0.5) / (totals[1] + 1)))) >= 2.0}
-    grammar = Grammar(stems)
+    # The empty stem counts rows. Stems that toxic rows hardly favour stay behind.
+    strong = written(counted.where((F.col("stem") == "") | ((F.col("toxic") >= 3) & (F.col("clean") * 8 <= F.col("toxic")))), "toxicity-stems")
+    totals = tuple(strong.where("stem = ''").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first())
     if not sum(totals):
-        return grammar
+        return Grammar()
+    rate = min(max(totals[0], 1) / sum(totals), 0.5)
+    tries = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / tries
+    gain = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    weight = F.log((F.col("toxic") + 0.1) / (totals[0] + 1) / ((F.col("clean") + 0.5) / (totals[1] + 1)))
+    likely = strong.where((F.col("stem") != "") & (share > rate) & (tries * gain > -math.log(by_chance))).select("stem", weight.alias("weight")).where("weight >= 2")
+    grammar = Grammar({r["stem"]: r["weight"] for r in likely.collect()})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([grammar.clauses(t).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([evidence(grammar.clauses(t)).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
 
     seen = sample.mapInArrow(features, "x array<double>, toxic int").toPandas()  # sample_rows rows of a few numbers
-    x, y = np.minimum(np.array(seen["x"].tolist()), 20.0), seen["toxic"].to_numpy(dtype=np.float64)
+    x, y = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(dtype=np.float64)
     prior = np.r_[list(PATTERNS.values()), grammar.bias]
     design, w = np.c_[x, np.ones(len(x))], prior.copy()
     pull = np.r_[np.full(len(PATTERNS), 5.0), 0.1]
