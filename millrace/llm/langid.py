@@ -8,10 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import arrow_batches, texts
+from millrace.llm.tables import arrow_batches, small, texts, written
 
 BUCKETS_LOG2 = 16
 LONGEST = 4
@@ -108,30 +108,53 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], dimensions: int = 16,
     return model
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000) -> Model:
-    """Fit a Model on at most sample_rows rows, a documented bound, taken in the order of a hash of their ids.
+def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> DataFrame:
+    """doc_id, lang, text: equal shares of sample_rows for all languages, those rows with the least hashes of their ids, one row for each id.
 
-    Rows with a null id or language, or whose crc32(doc_id) mod 4 is 2, are never used. No rows: no languages.
+    What is sorted has been cut by a rate from the counts before, so neither a task nor a window holds much
+    more than a language's share, and an id that is listed often comes as one row for each task.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     usable = rows.where("doc_id is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")
-    chosen = usable.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    counts = written(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("ids")), "language-counts")
+    languages = max(1, counts.count())
+    share, spread = max(1, sample_rows // languages), 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    some = usable.join(small(counts, 64), "lang").where(place < F.lit((1.3 * share + 100) * spread) / F.col("ids"))
+    one = some.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    return one.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).orderBy(place, "doc_id").limit(sample_rows).select("doc_id", "lang", "text")
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, sample_bytes: int = 256 << 20) -> Model:
+    """Fit a Model on at most sample_rows rows, equal shares for all languages, whose subword tables take at most sample_bytes: documented bounds.
+
+    Rows with a null id or language, or whose crc32(doc_id) mod 4 is 2, are never used; of an id listed several
+    times one row is. Up to sample_rows languages each get a row; with more, those of the least hashes do. Should the tables of very long
+    texts pass sample_bytes, the rows of the largest hashes are left out. No rows: no languages.
+    """
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buckets, shares, langs = [], [], []
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, buckets, shares, langs = [], [], [], []
+            for doc, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, n = np.unique(subwords(text), return_counts=True)
                 if len(found):
+                    ids.append(doc)
                     buckets.append(found.astype("<u2").tobytes())
                     shares.append((n / n.sum()).astype("<f4").tobytes())
                     langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), pa.array(shares, pa.binary()), pa.array(langs, pa.string())], ["buckets", "shares", "lang"])
-
-    # The bounds of what is broadcast, and of what comes to the driver, are sample_rows texts' subwords.
-    sampled = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(run, "buckets binary, shares binary, lang string").toPandas()
-    rows = sorted(zip(sampled["buckets"], sampled["shares"], sampled["lang"], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary()), pa.array(langs, pa.string())], ["doc_id", "buckets", "shares", "lang"])
+
+    chosen = _training_rows(docs, id_col, text_col, lang_col, sample_rows).select("doc_id", "text", "lang")
+    tables = written(chosen.mapInArrow(run, "doc_id long, buckets binary, shares binary, lang string"), "language-sample")
+    # At most sample_rows rows: one window over their sizes cuts what comes to the driver.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = tables.select("doc_id", (F.octet_length("buckets") + F.octet_length("shares")).alias("size")).withColumn("total", F.sum("size").over(order))
+    held = sizes.where(F.col("total") <= sample_bytes).select("doc_id")
+    rows = tables.join(F.broadcast(held), "doc_id").select("buckets", "shares", "lang").toPandas()
+    rows = sorted(zip(rows["buckets"], rows["shares"], rows["lang"], strict=True))
     return fit([(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(s, "<f4"), lang) for b, s, lang in rows])
 
 
