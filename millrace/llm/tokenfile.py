@@ -15,7 +15,7 @@ from millrace.llm.packing import with_global_start
 from millrace.llm.tables import arrow_batches, fresh_path, written
 from millrace.llm.wordbpe import id_width, token_table
 
-#: Ids in a block, at least, whole documents each; ids between two checkpoints of a block.
+#: Ids in a block, at most; ids between two checkpoints of a block.
 BLOCK, CHECKPOINT = 1 << 18, 256
 MAX_BITS = 16
 
@@ -109,10 +109,12 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: s
     """Write docs' ids, each document with end_id behind it, in ascending doc_id; give the file set's path.
 
     path/book holds each used id with its code length: canonical codes follow from these. path/blocks holds
-    one row per block: part, before (ids of the part's earlier blocks), n_tokens, docs, lengths, stream (Huffman
-    bits) and checkpoints (a bit offset for every CHECKPOINT ids). A block decodes with the book alone. Rows are
-    committed by Spark, so a lost executor leaves no half-written file. Null texts count as empty, null doc_ids
-    come first, repeated ids lie side by side, a very long text makes a long block; an empty table, no blocks.
+    one row per block: part, before (ids of the part's earlier blocks), n_tokens, docs, lengths, earlier (ids of
+    the first document in blocks before), later (of the last one in blocks behind), stream (Huffman bits) and
+    checkpoints (a bit offset for every CHECKPOINT ids). A block holds BLOCK ids at most and decodes with the book
+    alone; a long document goes on in the next block. Rows are committed by Spark, so a lost executor leaves no
+    half-written file. Null texts count as empty, null doc_ids come first, repeated ids lie side by side; an
+    empty table has no blocks.
     """
     spark, path, width = docs.sparkSession, fresh_path(docs.sparkSession, "token-file"), id_width(tokenizer)
     tokens = written(token_table(docs, tokenizer, end_id, id_col, text_col).select("doc_id", "ids"), "token-ids")
@@ -135,55 +137,77 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: s
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part, before = canonical_codes(bits), TaskContext.get().partitionId(), 0
+        unit = np.dtype(width).itemsize
         ids: list[bytes] = []
         names: list = []
-        held, unit = 0, np.dtype(width).itemsize
+        held, ahead = 0, 0
 
-        def block() -> pa.RecordBatch:
+        def block(behind: int) -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), dtype=width)
             stream, starts = encode_block(flat, bits, codes)
-            row = [part, before, len(flat), names, [len(x) // unit for x in ids], stream, starts.tolist()]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "before", "n_tokens", "docs", "lengths", "stream", "checkpoints"])
+            row = [part, before, len(flat), names, [len(x) // unit for x in ids], ahead, behind, stream, starts.tolist()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "before", "n_tokens", "docs", "lengths", "earlier", "later", "stream", "checkpoints"])
 
         for b in batches:
             for doc, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                names.append(doc)
-                ids.append(value)
-                held += len(value) // unit
-                if held >= BLOCK:
-                    yield block()
-                    before += held
-                    ids, names, held = [], [], 0
+                n, done = len(value) // unit, 0
+                while done < n:
+                    take = min(n - done, BLOCK - held)
+                    names.append(doc)
+                    ids.append(value[done * unit : (done + take) * unit])
+                    held, done = held + take, done + take
+                    if held == BLOCK:
+                        yield block(n - done)
+                        before += held
+                        ids, names, held = [], [], 0
+                        ahead = done if done < n else 0
         if ids:
-            yield block()
+            yield block(0)
 
     arrow_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(blocks, "part int, before long, n_tokens long, docs array<long>, lengths array<long>, stream binary, checkpoints array<long>").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, "part int, before long, n_tokens long, docs array<long>, lengths array<long>, earlier long, later long, stream binary, checkpoints array<long>").write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids, with with_ids), decoded block by block."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids, with with_ids), decoded block by block.
+
+    Documents that lie in one block are done there; the pieces of others are put together behind.
+    """
     book = spark.read.parquet(f"{path}/book").toPandas()  # bounded by the vocabulary
     bits = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, dtype=np.uint8)
     bits[book["id"].to_numpy(dtype=np.int64)] = book["bits"].to_numpy(dtype=np.uint8)
     placed = with_global_start(spark.read.parquet(f"{path}/blocks"))
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "piece", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
         for b in batches:
             tables = tables or decode_tables(bits, canonical_codes(bits))
-            for first, n, docs, lengths, stream, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for first, n, docs, lengths, ahead, behind, stream, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = decode_block(stream, np.array(starts), n, tables).astype("<u4")
                 ends = np.cumsum(lengths)
                 cuts = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths, strict=True)]
-                columns = [pa.array(docs, pa.int64()), pa.array(first + ends - np.array(lengths)), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(c) for c in cuts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(cuts, pa.binary())] * with_ids, names)
+                begins = first + ends - np.array(lengths)
+                piece: list = [None] * len(docs)
+                if behind:
+                    piece[-1] = 0
+                if ahead:
+                    piece[0] = ahead
+                    begins[0] -= ahead
+                raw = [c if with_ids or p is not None else None for c, p in zip(cuts, piece, strict=True)]
+                columns = [pa.array(docs, pa.int64()), pa.array(begins), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(piece, pa.int64()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    arrow_batches(spark, 8)
-    schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return placed.select("first", "n_tokens", "docs", "lengths", "stream", "checkpoints").mapInArrow(run, schema)
+    arrow_batches(spark)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, piece long, ids binary"
+    decoded = written(placed.select("first", "n_tokens", "docs", "lengths", "earlier", "later", "stream", "checkpoints").mapInArrow(run, schema), "token-decoded")
+    # One row of the result is one document, so its pieces meet.
+    parts = decoded.where("piece is not null").groupBy("doc_id", "start").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("pieces"))
+    parts = parts.withColumn("ids", F.aggregate("pieces", F.lit(b""), lambda whole, p: F.concat(whole, p["ids"])))
+    whole = decoded.where("piece is null").select("doc_id", "start", "n_tokens", "ids_crc32", "ids")
+    out = whole.unionByName(parts.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids"))
+    return out if with_ids else out.drop("ids")
