@@ -6,7 +6,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from millrace.llm import exact_dedup, queries, tables  # noqa: E402
+from millrace.llm import queries, tables  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 has_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -21,7 +21,6 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch, name):
 
     near, _ = rows()
     monkeypatch.setattr(tables.small, "__defaults__", (-1,))
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
