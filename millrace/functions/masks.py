@@ -24,7 +24,8 @@ def mask_full_name(v: Column, dialect: str = "worker") -> Column:
 
 
 def mask_mrz(v: Column) -> Column:
-    return F.when(F.length(v) <= 10, F.concat(F.substring(v, 1, 5), F.lit("*****"))).otherwise(F.concat(F.substring(v, 1, 5), F.lit("****"), F.right(v, F.lit(1))))
+    """Five characters stay, and the last of more than ten; texts no longer than that stay whole."""
+    return F.when(F.length(v) <= 5, v).when(F.length(v) <= 10, F.concat(F.substring(v, 1, 5), F.lit("*****"))).otherwise(F.concat(F.substring(v, 1, 5), F.lit("****"), F.right(v, F.lit(1))))
 
 
 def mask_middle(v: Column) -> Column:

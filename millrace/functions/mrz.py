@@ -21,15 +21,16 @@ def chars(v: Column) -> Column:
     return F.filter(F.split(text(v), ""), lambda c: c != "")
 
 
+def char_value(c: Column, dialect: str) -> Column:
+    """A character's value, 0 for no character; outside the alphabet null for the worker, 0 for the service. Fillers come as 0."""
+    place = F.position(c, F.lit(ALPHABET))
+    return (F.nullif(place, F.lit(0)) if dialect == "worker" else F.greatest(place, F.lit(1))) - 1
+
+
 def check_digit(v: Column, dialect: str = "worker") -> Column:
     """The weighted sum 7-3-1 modulo 10 as a string. A character outside the alphabet makes it null for the worker and counts 0 for the service."""
     weights = F.array(*map(F.lit, (7, 3, 1)))
-
-    def value(c: Column) -> Column:
-        place = F.position(c, F.lit(ALPHABET)) - 1
-        return F.when(c == "<", 0).when(place >= 0, place).otherwise(F.lit(None if dialect == "worker" else 0).cast("int"))
-
-    products = F.transform(chars(v), lambda c, i: value(c) * F.element_at(weights, i % 3 + 1))
+    products = F.transform(F.split(F.translate(text(v), "<", "0"), ""), lambda c, i: char_value(c, dialect) * F.element_at(weights, i % 3 + 1))
     return (F.aggregate(products, F.lit(0), lambda a, x: a + x) % 10).cast("string")
 
 
@@ -81,7 +82,7 @@ def name_parts(names: Column) -> Column:
     return F.struct(surname.alias("surname"), given.alias("given_names"), F.trim(F.concat(surname, F.lit(" "), given)).alias("full_name"))
 
 
-def mrz_date(v: Column, pivot: int = 69, strict: bool = True) -> Column:
+def mrz_date(v: Column, pivot: int = 68, strict: bool = True) -> Column:
     """yyMMdd to an ISO date, years up to pivot in this century.
 
     Fillers count as 0. strict: at most two fillers and a real calendar date; otherwise any day up to 31 of any
@@ -125,7 +126,7 @@ def at(line: Column, start: int, n: int) -> Column:
     return F.substring(text(line), start + 1, n)
 
 
-def parse(l1: Column, l2: Column, l3: Column, fmt: Column, pivot: int = 69) -> Column:
+def parse(l1: Column, l2: Column, l3: Column, fmt: Column, pivot: int = 68) -> Column:
     """The record's fields, raw widths of the format at hand; unknown formats give empty fields."""
     known = fmt.isNotNull()
     names = name_parts(at(l1, 5, 200))
@@ -166,22 +167,23 @@ def repair_field(v: Column, expected: Column, dialect: str = "worker", confusion
     pairs = F.create_map(*[F.lit(x) for p in table.items() for x in p])
     whole = text(v)
     candidates = F.filter(
-        F.transform(chars(v), lambda c, i: F.when(F.map_contains_key(pairs, c), F.concat(F.substring(whole, F.lit(1), i), F.try_element_at(pairs, c), F.substring(whole, i + 2, F.lit(400))))),
+        F.transform(chars(v), lambda c, i: F.when(F.map_contains_key(pairs, c), F.concat(F.substring(whole, F.lit(1), i), F.try_element_at(pairs, c), F.substring(whole, i + 2, F.length(whole))))),
         lambda c: c.isNotNull() & digit_ok(c, expected, dialect),
     )
-    ok = digit_ok(whole, expected, dialect)
-    found = F.try_element_at(candidates, F.lit(1))
-    return F.struct(F.when(ok, whole).otherwise(F.coalesce(found, whole)).alias("value"), (~ok & found.isNotNull()).alias("repaired"))
+    # Candidates are only made where the digit fails.
+    found = F.when(~digit_ok(whole, expected, dialect), F.try_element_at(candidates, F.lit(1)))
+    return F.struct(F.coalesce(found, whole).alias("value"), found.isNotNull().alias("repaired"))
 
 
 def repair_line2(l2: Column, dialect: str = "worker") -> Column:
-    """line2 with each of its three checked fields repaired, and the names of the fields that were."""
-    line, fixed = text(l2), []
+    """line2 with each of its three checked fields repaired, and the names of the fields that were. Fields and digits do not overlap, so each is repaired in the line as it came."""
+    line, parts, fixed, done = text(l2), [], [], 0
     for name, (start, n, place) in FIELDS.items():
         r = repair_field(at(l2, start, n), at(l2, place, 1), dialect)
-        line = F.concat(F.substring(line, 1, start), r["value"], F.substring(line, start + n + 1, 400))
+        parts += [F.substring(line, done + 1, start - done), r["value"]]
+        done = start + n
         fixed.append(F.when(r["repaired"], F.lit(name)))
-    return F.struct(line.alias("line2"), F.array_compact(F.array(*fixed)).alias("repaired"))
+    return F.struct(F.concat(*parts, F.substring(line, F.lit(done + 1), F.length(line))).alias("line2"), F.array_compact(F.array(*fixed)).alias("repaired"))
 
 
 def all_substitutions(v: Column, confusions: dict[str, str] | None = None) -> Column:
@@ -197,9 +199,27 @@ def all_substitutions(v: Column, confusions: dict[str, str] | None = None) -> Co
 
 
 def best_substitution(v: Column, expected: Column, dialect: str = "service") -> Column:
-    """The first of all_substitutions whose digit is expected, else the field itself."""
-    good = F.filter(all_substitutions(v), lambda c: check_digit(c, dialect) == expected)
-    return F.when(check_digit(v, dialect) == expected, v).otherwise(F.coalesce(F.try_element_at(good, F.lit(1)), v))
+    """The first of all_substitutions whose digit is expected, else the field itself.
+
+    Found without making them all: from the last character on, the first text for each of the ten remainders.
+    """
+    pairs = F.create_map(*[F.lit(x) for p in CONFUSIONS.items() for x in p])
+    letters, n = chars(v), F.length(text(v))
+    weights = F.array(*map(F.lit, (7, 3, 1)))
+
+    def before(made: Column, i: Column) -> Column:
+        c = F.element_at(letters, i)
+        weight = F.element_at(weights, (i - 1) % 3 + 1)
+
+        def with_letter(letter: Column, rest: Column) -> Column:
+            return F.concat(letter, F.element_at(made, F.pmod(rest - weight * char_value(F.translate(letter, "<", "0"), dialect), F.lit(10)).cast("int") + 1))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda rest: F.least(with_letter(c, rest), with_letter(F.coalesce(F.try_element_at(pairs, c), c), rest)))
+
+    start = F.array(F.lit(""), *[F.lit(None).cast("string")] * 9)
+    made = F.when(n > 0, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, before)).otherwise(start)
+    found = F.try_element_at(made, F.coalesce(F.when(expected.rlike("^[0-9]$"), expected.try_cast("int")), F.lit(98)) + 1)
+    return F.when(check_digit(v, dialect) == expected, v).otherwise(F.coalesce(found, v))
 
 
 def blanket_corrections(v: Column, kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,20 +47,30 @@ def normalize_country(v: Column) -> Column:
     return F.when(F.length(up) == 2, lookup(ISO2_TO_ISO3, up, up)).otherwise(F.substring(up, 1, 3))
 
 
-#: Latin letters and what they are without their marks.
-MARKED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿŠšŽž"
-PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyySsZz"
+def _unmarked() -> tuple[str, str]:
+    """Characters that decompose into one character and marks of U+0300 to U+036F, and that character."""
+    marked, plain = [], []
+    for c in map(chr, range(0xC0, 0xD800)):
+        parts = unicodedata.normalize("NFD", c)
+        bare = "".join(p for p in parts if not "\u0300" <= p <= "\u036f")
+        if parts != c and len(bare) == 1:
+            marked.append(c)
+            plain.append(bare)
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _unmarked()
 
 
 def strip_diacritics(v: Column) -> Column:
-    """Precomposed Latin letters by a table, then combining marks."""
+    """Letters without their marks, precomposed or combining; đ and other letters of their own stay, and so do Hangul syllables."""
     return F.regexp_replace(F.translate(text(v), MARKED, PLAIN), "[\\u0300-\\u036f]", "")
 
 
 def soundex(v: Column) -> Column:
     """Letter and three digits; vowels, H, W and Y go before coding, and the first letter is never merged with the next. Empty: 000."""
     up = F.regexp_replace(F.upper(text(v)), "[^A-Z]", "")
-    rest = F.regexp_replace(F.substring(up, 2, 200), "[AEIOUHWY]", "")
+    rest = F.regexp_replace(F.substring(up, F.lit(2), F.length(up)), "[AEIOUHWY]", "")
     coded = F.translate(rest, "BFPVCGJKQSXZDTLMNR", "111122222222334556")
     merged = F.regexp_replace(coded, "([0-9])\\1+", "$1")
     return F.when(up == "", "000").otherwise(F.rpad(F.concat(F.substring(up, 1, 1), F.substring(merged, 1, 3)), 4, "0"))

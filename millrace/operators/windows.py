@@ -41,10 +41,16 @@ def counts_before(rows: DataFrame, by: list[str], order: list[str], tests: dict[
 
 
 def duplicates(rows: DataFrame, key: Column, order: list[str], out: str = "duplicate") -> DataFrame:
-    """Marks rows whose non-empty key came before, in order; blank keys are no duplicates."""
-    w = Window.partitionBy("_key").orderBy(*order)
+    """Marks rows whose non-empty key came before, in order; blank keys are no duplicates and are not sorted."""
     marked = rows.withColumn("_key", key)
-    return marked.withColumn(out, (F.coalesce(F.col("_key"), F.lit("")) != "") & (F.row_number().over(w) > 1)).drop("_key")
+    blank = F.coalesce(F.col("_key"), F.lit("")) == ""
+    w = Window.partitionBy("_key").orderBy(*order)
+    return marked.where(~blank).withColumn(out, F.row_number().over(w) > 1).unionByName(marked.where(blank).withColumn(out, F.lit(False))).drop("_key")
+
+
+def materialised(rows: DataFrame, out: str, value: Column) -> DataFrame:
+    """rows with value under the name out, computed once however often it is read: the optimiser copies no expression across a generator."""
+    return rows.select("*", F.explode(F.array(value)).alias(out))
 
 
 def neighbours(rows: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:

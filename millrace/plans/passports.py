@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import mrz, rules
+from millrace.operators import windows
 from millrace.plans.registry import AS_OF, exact, query, table
 
 COUNTRIES = ["VNM", "USA", "KOR", "CHN", "JPN", "FRA", "DEU", "GBR", "ITA", "ESP"]
@@ -53,12 +54,18 @@ def _date_sql(v: str, pivot: int) -> str:
     return f"CASE WHEN substr({v}, 1, 2)::INT <= {pivot} THEN '20' ELSE '19' END || substr({v}, 1, 2) || '-' || substr({v}, 3, 2) || '-' || substr({v}, 5, 2)"
 
 
+def _posix_date_sql(v: str) -> str:
+    """Two-digit years as POSIX reads them: 69 to 99 are of the last century."""
+    return f"strftime(strptime({v}, '%y%m%d'), '%Y-%m-%d')"
+
+
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repaired, checked and parsed."""
-    p = passport_lines(spark, sf_dir).withColumn("fmt", mrz.line_format(F.col("line1"), F.col("line2"), F.lit("")))
-    p = p.withColumn("before", mrz.validate(F.col("line2"), F.col("fmt"))).withColumn("fix", mrz.repair_line2(F.col("line2")))
-    p = p.withColumn("fixed", F.col("fix.line2")).withColumn("checks", mrz.validate(F.col("fixed"), F.col("fmt")))
-    return p.withColumn("fields", mrz.parse(F.col("line1"), F.col("fixed"), F.lit(""), F.col("fmt")))
+    p = windows.materialised(passport_lines(spark, sf_dir), "fmt", mrz.line_format(F.col("line1"), F.col("line2"), F.lit("")))
+    p = windows.materialised(p, "fix", F.struct(mrz.validate(F.col("line2"), F.col("fmt")).alias("before"), mrz.repair_line2(F.col("line2")).alias("fix")))
+    p = p.select("doc_id", "country", "line1", "line2", "true_number", "fmt", "fix.before", "fix.fix").withColumn("fixed", F.col("fix.line2"))
+    p = windows.materialised(p, "checks", mrz.validate(F.col("fixed"), F.col("fmt")))
+    return windows.materialised(p, "fields", mrz.parse(F.col("line1"), F.col("fixed"), F.lit(""), F.col("fmt")))
 
 
 @query(
@@ -91,7 +98,7 @@ def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {PASSPORTS_SQL}
     SELECT doc_id, country AS issuing_country, 'CUSTOMER' AS surname, split_part(rtrim(substr(line1, 6), '<'), '<<', 2) AS given_names,
            substr(line2, 11, 3) AS nationality, rtrim(substr(line2, 1, 9), '<') AS number,
-           {_date_sql("substr(line2, 14, 6)", 69)} AS date_of_birth, {_date_sql("substr(line2, 22, 6)", 69)} AS expiry_date,
+           {_posix_date_sql("substr(line2, 14, 6)")} AS date_of_birth, {_posix_date_sql("substr(line2, 22, 6)")} AS expiry_date,
            {_date_sql("substr(line2, 14, 6)", 49)} AS birth_pivot_49,
            CASE WHEN substr(line2, 21, 1) IN ('M', 'F') THEN substr(line2, 21, 1) ELSE 'UNKNOWN' END AS sex FROM passports""",
 )
@@ -173,7 +180,7 @@ def mrz_find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "passport_warnings",
-    f"""WITH {PASSPORTS_SQL}, d AS (SELECT doc_id, date_diff('day', DATE '{AS_OF}', ({_date_sql("substr(line2, 22, 6)", 69)})::DATE) AS left_days FROM passports)
+    f"""WITH {PASSPORTS_SQL}, d AS (SELECT doc_id, date_diff('day', DATE '{AS_OF}', ({_posix_date_sql("substr(line2, 22, 6)")})::DATE) AS left_days FROM passports)
     SELECT doc_id, CASE WHEN left_days < 0 THEN 'PASSPORT_EXPIRED' WHEN left_days <= 90 THEN 'PASSPORT_EXPIRING_SOON' ELSE '' END AS warnings FROM d""",
 )
 def passport_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +191,7 @@ def passport_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cross_field_issues",
-    f"""WITH {PASSPORTS_SQL}, d AS (SELECT doc_id, ({_date_sql("substr(line2, 14, 6)", 69)})::DATE AS b, ({_date_sql("substr(line2, 22, 6)", 69)})::DATE AS e FROM passports),
+    f"""WITH {PASSPORTS_SQL}, d AS (SELECT doc_id, ({_posix_date_sql("substr(line2, 14, 6)")})::DATE AS b, ({_posix_date_sql("substr(line2, 22, 6)")})::DATE AS e FROM passports),
     y AS (SELECT doc_id, b, e, date_diff('day', b, e) / 365.25 AS years FROM d)
     SELECT doc_id, concat_ws(';', CASE WHEN e <= b THEN 'EXPIRY_BEFORE_BIRTH' END, CASE WHEN years > 0 AND (years < 15 OR years > 100) THEN 'IMPLAUSIBLE_VALIDITY' END) AS issues FROM y""",
 )

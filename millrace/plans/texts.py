@@ -195,7 +195,7 @@ def ambiguous_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.size(w).cast("long").alias("n"), F.array_min(w["position"]).cast("long").alias("first_position")).where("n > 0")
 
 
-@query("strip_diacritics", f"SELECT doc_id, md5(translate(coalesce(text, ''), '{tx.MARKED}', '{tx.PLAIN}')) AS digest, NULL::VARCHAR AS script FROM documents")
+@query("strip_diacritics", "SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS digest, NULL::VARCHAR AS script FROM documents")
 def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.strip_diacritics(F.col("text"))).alias("digest"), tx.non_latin_script(F.col("text")).alias("script"))
 
