@@ -81,7 +81,7 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     x, y = F.upper(F.trim(text(a))), F.upper(F.trim(text(b)))
     distance = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
     sounds = (soundex(x) == soundex(y)) & (F.length(x) >= 3) & (F.length(y) >= 3)
-    kinds = [(x == y, F.lit(1.0), "exact"), (strip_diacritics(x) == strip_diacritics(y), F.lit(0.95), "diacritics"), (sounds, F.lit(0.85), "soundex")]
+    kinds = [(x == y, F.lit(1.0), "exact"), (strip_diacritics(x) == strip_diacritics(y), F.lit(0.95), "normalized"), (sounds, F.lit(0.85), "soundex")]
     similarity, method = distance, F.lit("levenshtein")
     for test, value, name in reversed(kinds):
         similarity, method = F.when(test, value).otherwise(similarity), F.when(test, F.lit(name)).otherwise(method)

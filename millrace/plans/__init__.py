@@ -1,4 +1,4 @@
 """Registered queries over the library's operators."""
 
-from millrace.plans import checks, events, guests, passports, texts  # noqa: F401
+from millrace.plans import checks, events, guests, intake, passports, texts  # noqa: F401
 from millrace.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
