@@ -97,7 +97,7 @@ def test_fuzzy(one):
         r = one(tx.fuzzy_match(F.lit(a), F.lit(b)))
         return r["matched"], round(r["similarity"], 2), r["method"]
 
-    assert match("Anna", "anna ") == (True, 1.0, "exact") and match("José", "Jose") == (True, 0.95, "diacritics")
+    assert match("Anna", "anna ") == (True, 1.0, "exact") and match("José", "Jose") == (True, 0.95, "normalized")
     assert match("Robert", "Rupert") == (True, 0.85, "soundex") and match("abcd", "wxyz")[0] is False
 
 
