@@ -83,8 +83,8 @@ def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 def arrow_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, by rows and bytes; the same for all operators, as results are lazy and the setting is the session's."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -168,7 +168,7 @@ class Grammar:
         self.tuples: list[tuple[Symbol, ...]] = []
         self.number: dict[tuple[Symbol, ...], int] = {}
         self.telling: set[int] = set()
-        self.numbers = TwoGenerations(self._number, 300_000)
+        self.numbers = TwoGenerations(self._number, 100_000)
 
     def _number(self, token: str) -> int:
         """The place in tuples of what the token is; telling holds those with an insult or violence."""

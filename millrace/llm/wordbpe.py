@@ -46,7 +46,7 @@ class WordIds:
     a bounded cache and only new ones go through the library; other files are encoded text by text.
     """
 
-    def __init__(self, path: str, generation: int = 500_000):
+    def __init__(self, path: str, generation: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
