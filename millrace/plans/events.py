@@ -30,10 +30,10 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "retention",
-    "WITH kept AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-03-31 00:00:00' - INTERVAL 80 DAY) SELECT event_id, user_id FROM kept WHERE rn <= 500",
+    "WITH kept AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY) SELECT event_id, user_id FROM kept WHERE rn <= 10000",
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.retain(table(spark, sf_dir, "events"), "2024-03-31 00:00:00", 80, 500).select("event_id", "user_id")
+    return audit.retain(table(spark, sf_dir, "events"), "2024-04-15 00:00:00", 90, 10_000).select("event_id", "user_id")
 
 
 @query(
@@ -51,20 +51,21 @@ def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_if(k >= 50).alias("high"))
 
 
-@query("session_caps", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT event_id, user_id FROM r WHERE rn <= 20")
+@query("session_caps", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rn FROM events) SELECT event_id, user_id FROM r WHERE rn <= 100")
 def session_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.cap_per_session(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")], 20).select("event_id", "user_id")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    return audit.cap_per_session(e, "day", [F.col("ts"), F.col("event_id")], 100).select("event_id", "user_id")
 
 
 @query(
     "fill_log",
-    """SELECT event_id, event_id || ',' || event_type || ',' || coalesce(substr(c_name, 1, 4) || repeat('*', length(c_name) - 4), '') AS line FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 2 = 0""",
+    """SELECT event_id, event_id || ',' || event_type || ',' || coalesce(substr(s_name, 1, 4) || repeat('*', length(s_name) - 4), '') AS line FROM events LEFT JOIN supplier ON user_id = s_suppkey""",
 )
 def fill_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their guests, masked, as plain lines; half of the guests are gone."""
-    guests = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    joined = records.fill_log(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), guests, "user_id", "c_custkey")
-    return joined.select("event_id", audit.csv_line(F.col("event_id"), F.col("event_type"), masks.mask_start(F.col("c_name")), quoted=False).alias("line"))
+    """Events with their guests, masked, as plain lines; suppliers stand for guests, as there are fewer of them than users."""
+    guests = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    joined = records.fill_log(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), guests, "user_id", "s_suppkey")
+    return joined.select("event_id", audit.csv_line(F.col("event_id"), F.col("event_type"), masks.mask_start(F.col("s_name")), quoted=False).alias("line"))
 
 
 @query(

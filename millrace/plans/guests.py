@@ -117,30 +117,30 @@ _CONFLICT = """CASE WHEN m = '' THEN v WHEN v = '' THEN m WHEN upper(trim(m)) =
 
 @query(
     "resolve_conflicts",
-    f"""WITH visual AS (SELECT c_custkey AS doc, c_mktsegment AS visual, (c_custkey % 20) / 20.0 AS confidence FROM customer WHERE c_custkey % 9 <> 0),
-    zone AS (SELECT c_custkey AS doc, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || ' ' WHEN 1 THEN 'OTHER' WHEN 2 THEN '' ELSE 'X' END AS mrz, c_custkey % 8 < 4 AS digit FROM customer WHERE c_custkey % 10 <> 0),
+    f"""WITH visual AS (SELECT c_custkey AS doc, c_mktsegment AS visual, (c_custkey % 20) / 20.0 AS confidence FROM customer),
+    zone AS (SELECT c_custkey + 100 AS doc, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || ' ' WHEN 1 THEN 'OTHER' WHEN 2 THEN '' ELSE 'X' END AS mrz, c_custkey % 8 < 4 AS digit FROM customer),
     j AS (SELECT doc, coalesce(mrz, '') AS m, coalesce(visual, '') AS v, coalesce(digit, false) AS digit, coalesce(confidence, 0) AS c FROM visual FULL JOIN zone USING (doc))
     SELECT doc, {_CONFLICT} FROM j""",
 )
 def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     k, s = F.col("c_custkey"), F.col("c_mktsegment")
-    visual = c.where(k % 9 != 0).select(k.alias("doc"), s.alias("visual"), (k % 20 / 20).alias("confidence"))
+    visual = c.select(k.alias("doc"), s.alias("visual"), (k % 20 / 20).alias("confidence"))
     mrz = F.when(k % 4 == 0, F.concat(F.lower(s), F.lit(" "))).when(k % 4 == 1, "OTHER").when(k % 4 == 2, "").otherwise("X")
-    zone = c.where(k % 10 != 0).select(k.alias("doc"), mrz.alias("mrz"), (k % 8 < 4).alias("digit"))
+    zone = c.select((k + 100).alias("doc"), mrz.alias("mrz"), (k % 8 < 4).alias("digit"))
     out = records.resolve_conflicts(visual, zone, ["doc"])
     return out.select("doc", "value", "source", exact(F.col("confidence")).alias("confidence"), "conflict")
 
 
 @query(
     "conflict_remainder",
-    """WITH results AS (SELECT c_custkey AS doc, c_name AS value FROM customer WHERE c_custkey % 2 = 0), better AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'b' || c_custkey END AS value FROM customer WHERE c_custkey % 3 = 0)
+    """WITH results AS (SELECT c_custkey AS doc, c_name AS value FROM customer), better AS (SELECT c_custkey + 100 AS doc, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'b' || c_custkey END AS value FROM customer)
     SELECT doc, coalesce(b.value, r.value) AS value FROM results r LEFT JOIN better b USING (doc) UNION ALL SELECT doc, value FROM better WHERE doc NOT IN (SELECT doc FROM results) AND value <> ''""",
 )
 def conflict_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("c_custkey")
-    results = c.where(k % 2 == 0).select(k.alias("doc"), F.col("c_name").alias("value"))
-    better = c.where(k % 3 == 0).select(k.alias("doc"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("b"), k.cast("string"))).alias("value"))
+    results = c.select(k.alias("doc"), F.col("c_name").alias("value"))
+    better = c.select((k + 100).alias("doc"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("b"), k.cast("string"))).alias("value"))
     return records.with_remainder(results, better, ["doc"])
 
 
@@ -195,12 +195,12 @@ def fill_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "overlay_edits",
-    """WITH e AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'edited' END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
-    SELECT c.c_custkey, coalesce(e.c_name, c.c_name) AS c_name, coalesce(e.c_mktsegment, c.c_mktsegment) AS c_mktsegment, CASE WHEN e.c_name IS NOT NULL AND e.c_name <> c.c_name THEN 1 ELSE 0 END AS n_edits FROM customer c LEFT JOIN e USING (c_custkey)""",
+    """WITH e AS (SELECT c_custkey + 100 AS c_custkey, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'edited' END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer)
+    SELECT c.c_custkey, coalesce(e.c_name, c.c_name) AS c_name, coalesce(e.c_mktsegment, c.c_mktsegment) AS c_mktsegment, CASE WHEN e.c_name IS NOT NULL AND e.c_name <> c.c_name THEN 1 ELSE 0 END + CASE WHEN e.c_mktsegment <> c.c_mktsegment THEN 1 ELSE 0 END AS n_edits FROM customer c LEFT JOIN e USING (c_custkey)""",
 )
 def overlay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey")
-    edits = c.where(k % 2 == 0).select(k.alias("c_custkey"), F.when(k % 6 == 0, "").otherwise("edited").alias("c_name"), F.when(k % 4 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    edits = c.select((k + 100).alias("c_custkey"), F.when(k % 6 == 0, "").otherwise("edited").alias("c_name"), F.when(k % 4 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
     return records.overlay(c, edits, "c_custkey", ["c_name", "c_mktsegment"])
 
 
