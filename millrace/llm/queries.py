@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, chat, exact_dedup, langid, packing, pii, simhash, tokenfile, toxicity, vectors
+from millrace.llm import bytebpe, chat, divergence, exact_dedup, infill, langid, packing, pii, simhash, suffixes, tokenfile, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"), span=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed="7", rate=100, suffix_first=50)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_file": op9_token_file,
     "op7_simhash": op7_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _WRITTEN = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), '|', '&#124;')"
@@ -103,4 +122,54 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op12_fill_in_middle": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        counted AS (
+            SELECT *, len(parts) - CAST(parts[-1] = '' AS INT) AS n,
+                   ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM drawn),
+        cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM counted),
+        placed AS (
+            SELECT *, CASE WHEN a = 0 THEN 0 WHEN a = n THEN length(t) ELSE length(array_to_string(parts[1:a], chr(10))) + 1 END AS first_cut,
+                   CASE WHEN b = 0 THEN 0 WHEN b = n THEN length(t) ELSE length(array_to_string(parts[1:b], chr(10))) + 1 END AS last_cut
+            FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN first_cut::BIGINT END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN (last_cut - first_cut)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t
+                      WHEN 'psm' THEN '<P>' || substring(t, 1, first_cut) || '<S>' || substring(t, last_cut + 1) || '<M>' || substring(t, first_cut + 1, last_cut - first_cut)
+                      ELSE '<S>' || substring(t, last_cut + 1) || '<P>' || substring(t, 1, first_cut) || '<M>' || substring(t, first_cut + 1, last_cut - first_cut) END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM placed""",
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        words AS (
+            SELECT r, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS all_lang FROM kept GROUP BY lang),
+        own AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        totals AS (
+            SELECT g.lang, g.source, coalesce(sum(own.n), 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM docs) AS g LEFT JOIN own USING (lang, source) GROUP BY ALL),
+        shares AS (
+            SELECT t.lang, t.source, k.term, coalesce(own.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 5)) // (t.total + 5 * l.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n_lang + 5)) // (l.all_lang + 5 * l.v) AS q
+            FROM totals AS t JOIN langs AS l USING (lang) JOIN kept AS k USING (lang) LEFT JOIN own ON own.lang = t.lang AND own.source = t.source AND own.term = k.term),
+        apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(apart.value, 0) AS value
+            FROM totals AS a JOIN totals AS b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
