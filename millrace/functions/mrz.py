@@ -198,12 +198,12 @@ def all_substitutions(v: Column, confusions: dict[str, str] | None = None) -> Co
     return F.array_sort(F.array_distinct(F.aggregate(chars(v), F.array(F.lit("")), grow)))
 
 
-def best_substitution(v: Column, expected: Column, dialect: str = "service") -> Column:
+def best_substitution(v: Column, expected: Column, dialect: str = "service", confusions: dict[str, str] | None = None) -> Column:
     """The first of all_substitutions whose digit is expected, else the field itself.
 
     Found without making them all: from the last character on, the first text for each of the ten remainders.
     """
-    pairs = F.create_map(*[F.lit(x) for p in CONFUSIONS.items() for x in p])
+    pairs = F.create_map(*[F.lit(x) for p in (CONFUSIONS if confusions is None else confusions).items() for x in p])
     letters, n = chars(v), F.length(text(v))
     weights = F.array(*map(F.lit, (7, 3, 1)))
 

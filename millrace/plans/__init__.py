@@ -1,4 +1,4 @@
 """Registered queries over the library's operators."""
 
-from millrace.plans import checks, desk, events, guests, intake, passports, review, texts  # noqa: F401
+from millrace.plans import checks, desk, events, guests, intake, lineage, passports, reading, review, texts  # noqa: F401
 from millrace.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -12,8 +12,8 @@ from millrace.plans.registry import AS_OF, exact, query, table
 COUNTRIES = ["VNM", "USA", "KOR", "CHN", "JPN", "FRA", "DEU", "GBR", "ITA", "ESP"]
 
 
-def passport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, country, line1, line2, true_number."""
+def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written on each customer's passport, with the digits of number and dates."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     key = F.col("c_custkey")
     number = F.concat(F.lit("P"), F.lpad(key.cast("string"), 8, "0"))
@@ -24,7 +24,12 @@ def passport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.date_format(F.date_add(F.lit(start).cast("date"), (key * step % span).cast("int")), "yyMMdd")
 
     d = c.select(key.alias("doc_id"), country.alias("country"), number.alias("true_number"), names.alias("names"), date("1950-01-01", 37, 20000).alias("dob"), date("2020-01-01", 53, 3600).alias("exp"), F.element_at(F.array(F.lit("M"), F.lit("F"), F.lit("<")), (key % 3 + 1).cast("int")).alias("sex"))
-    d = d.withColumns({"n1": mrz.check_digit(F.col("true_number")), "d1": mrz.check_digit(F.col("dob")), "e1": mrz.check_digit(F.col("exp"))})
+    return d.withColumns({"n1": mrz.check_digit(F.col("true_number")), "d1": mrz.check_digit(F.col("dob")), "e1": mrz.check_digit(F.col("exp"))})
+
+
+def passport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, country, line1, line2, true_number."""
+    d = holders(spark, sf_dir)
     whole = mrz.check_digit(F.concat("true_number", "n1", "dob", "d1", "exp", "e1", F.lit("<" * 14 + "0")))
     shown = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("PO"), F.substring("true_number", 3, 7))).otherwise(F.col("true_number"))
     line1 = F.rpad(F.concat(F.lit("P<"), F.col("country"), F.col("names")), 44, "<")
