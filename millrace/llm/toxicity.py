@@ -265,14 +265,60 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     return rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
 
 
+def _longest_stems(names: list[str], rows: list[tuple[list[int], int]], totals: tuple[int, int], rate: float, by_chance: float) -> dict[str, float]:
+    """The stems to keep, with their weights: whole words first, then longer before shorter.
+
+    A shorter stem stands only for rows that no kept stem which it begins has shown: of these three must be toxic, and
+    the split as uneven as by_chance asks. So one abusive word gives that word, not its first three letters too.
+    """
+    toxic: list[set[int]] = [set() for _ in names]
+    clean: list[set[int]] = [set() for _ in names]
+    for row, (stems, label) in enumerate(rows):
+        for k in stems:
+            (toxic if label else clean)[k].add(row)
+    kept: dict[str, float] = {}
+    covers: list[int] = []
+    for k in sorted(range(len(names)), key=lambda k: (not names[k].endswith("$"), -len(names[k]), names[k])):
+        longer = [j for j in covers if not names[k].endswith("$") and names[j].startswith(names[k])]
+        own = [len(rows_of[k].difference(*(rows_of[j] for j in longer))) for rows_of in (toxic, clean)]
+        tries = sum(own)
+        if own[0] < 3 or own[1] * 8 > own[0] or own[0] / tries <= rate:
+            continue
+        share = own[0] / tries
+        gain = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
+        weight = math.log((own[0] + 0.1) / (totals[0] + 1) / ((own[1] + 0.5) / (totals[1] + 1)))
+        if tries * gain > -math.log(by_chance) and weight >= 2:
+            kept[names[k]] = weight
+            covers.append(k)
+    return kept
+
+
+#: Rows that must show a pattern and no other before its weight may pass what PATTERNS states.
+SHOWN_ALONE = 30
+
+
+def _held_down(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """weights with those of negated and reported insults at most their stated part of a plain one's where too few rows show them alone, and never more than it."""
+    kinds, out = list(PATTERNS), weights.copy()
+    plain = max(out[kinds.index("I")], 0.0)
+    for k, kind in enumerate(kinds):
+        if kind in "nr":
+            alone = int(((x[:, k] > 0) & (np.delete(x, k, axis=1) == 0).all(axis=1)).sum()) if len(x) else 0
+            out[k] = min(out[k], plain if alone >= SHOWN_ALONE else plain * PATTERNS[kind] / PATTERNS["I"])
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, by_chance: float = 1e-6) -> Grammar:
     """Fit a Grammar on a sample of at most sample_rows labelled rows, a documented bound; rows whose crc32(doc_id) mod 5 is 0 are never used.
 
-    Stems are beginnings of words that three toxic rows at least have and clean ones hardly: their weight is the
-    logarithm of the smoothed ratio of the two rates, and chance makes as uneven a split with less than by_chance
-    (Chernoff's bound); all such stems of the sample are taken. Pattern weights and the bias are a logistic
-    regression drawn to the weights that PATTERNS states, so patterns that labels never show keep those. No
-    labels: no stems, and scores from the stated weights alone.
+    Stems are whole words and beginnings of words that three toxic rows at least have and clean ones hardly: their weight
+    is the logarithm of the smoothed ratio of the two rates, and chance makes as uneven a split with less than
+    by_chance (Chernoff's bound); of those that show the same rows the longest is taken. Pattern weights and the bias
+    are a logistic regression drawn to the weights that PATTERNS states, so patterns that labels never show keep those;
+    negated and reported insults stay below plain ones. No labels: no stems, and scores from the stated weights alone.
+
+    The closed classes are words of English, German, French and Spanish. Words are what stands between white space and
+    have three letters at least, so texts without spaces and shorter words never match.
     """
     arrow_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, sample_rows), "toxicity-rows")
@@ -299,8 +345,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, by_chan
     share = F.col("toxic") / tries
     gain = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     weight = F.log((F.col("toxic") + 0.1) / (totals[0] + 1) / ((F.col("clean") + 0.5) / (totals[1] + 1)))
-    likely = strong.where((F.col("stem") != "") & (share > rate) & (tries * gain > -math.log(by_chance))).select("stem", weight.alias("weight")).where("weight >= 2")
-    grammar = Grammar({r["stem"]: r["weight"] for r in likely.collect()})
+    likely = strong.where((F.col("stem") != "") & (share > rate) & (tries * gain > -math.log(by_chance))).where(weight >= 2).select("stem", "toxic", "clean")
+    names = sorted(r["stem"] for r in likely.collect())
+    place = {stem: k for k, stem in enumerate(names)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stems = [sorted(place[x] for x in _beginnings(t) if x in place) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.list_(pa.int32())), b.column(1)], ["stems", "toxic"])
+
+    shown = sample.mapInArrow(held, "stems array<int>, toxic int").where("size(stems) > 0").collect()  # sample_rows rows of a few numbers
+    grammar = Grammar(_longest_stems(names, [(r["stems"], r["toxic"]) for r in shown], totals, rate, by_chance))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,7 +379,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, by_chan
         w = w + step
         if abs(step).max() < 1e-6:
             break
-    grammar.weights, grammar.bias = w[:-1], float(w[-1])
+    grammar.weights, grammar.bias = _held_down(w[:-1], x), float(w[-1])
     return grammar
 
 
