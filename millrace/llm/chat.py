@@ -96,14 +96,31 @@ def _turns(layout: Layout, record: str = "") -> Column:
     return F.concat(F.array(*out), F.coalesce(listed, F.array())) if out else listed
 
 
+def known_paths(df: DataFrame) -> list[str]:
+    return [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
+
+
+def chosen_layout(paths: list[str]) -> Layout | None:
+    """The layout that a table of these known paths has: that of their fingerprint, else, of those whose paths are all there, the turn layout or the widest."""
+    inside = [x for x in WIDEST_FIRST if set(x.paths) <= set(paths)]
+    return BY_FINGERPRINT.get(fingerprint(paths)) or next((x for x in inside if x.turn), inside[0] if inside else None)
+
+
+def passed_over(df: DataFrame) -> list[str]:
+    """The paths of df that belong to some layout but not to the one that turns_of_table takes."""
+    layout = chosen_layout(known_paths(df))
+    return sorted(set(known_paths(df)) - set(layout.paths if layout else ()))
+
+
 def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
     """conv_id, turn, role, text from a table of one layout, known by its schema's fingerprint.
 
-    Columns that no layout names are left out of it; should those of several layouts be there, the one with
-    the most paths counts. A table without any is an error. A null list has no turns, a null field is an empty text.
+    Columns that no layout names are left out of it; should those of several layouts be there, one turn a row comes
+    first, then the layout with the most paths; passed_over() lists the rest. A table without any is an error. A null list
+    has no turns, a null field is an empty text.
     """
-    own = [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
-    layout = BY_FINGERPRINT.get(fingerprint(own)) or next((x for x in WIDEST_FIRST if set(x.paths) <= set(own)), None)
+    own = known_paths(df)
+    layout = chosen_layout(own)
     if layout is None:
         raise ValueError(f"no layout has only fields of {field_paths(df.schema)}")
     conv = F.col(f"`{id_col}`").cast("long").alias("conv_id")

@@ -49,6 +49,22 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records in layouts of three kinds, each conversation's known by its fingerprint, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    first = {r: F.min_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.struct("turn", "text"))) for r in ("user", "assistant")}
+    whole = rows.groupBy("conv_id").agg(turns.alias("t"), first["user"].alias("u"), first["assistant"].alias("a"))
+    listed = F.to_json(F.struct(F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"), F.lit(1).alias("extra")))
+    shared = F.to_json(F.struct(F.transform("t", lambda m: F.struct(F.when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").otherwise(m["role"]).alias("from"), m["text"].alias("value"))).alias("conversations")))
+    pair = F.to_json(F.struct(F.coalesce("u", F.lit("")).alias("instruction"), F.coalesce("a", F.lit("")).alias("output")))
+    k = F.col("conv_id") % 3
+    records = whole.select("conv_id", F.when(k == 0, listed).when(k == 1, shared).otherwise(pair).alias("record"))
+    out = chat.format_turns(chat.turns_of_json(records, "conv_id", "record")).select("conv_id", chat.read_turns().alias("turns"), chat.under_mask().alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.sha2("loss", 256).alias("loss_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -100,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_source_divergence": op13_source_divergence,
+    "chat_layouts": chat_layouts,
 }
 
 _WRITTEN = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), '|', '&#124;')"
@@ -118,6 +135,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
                formatted_chars::BIGINT AS formatted_chars
         FROM whole""",
+    "chat_layouts": """
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        pairs AS (
+            SELECT conv_id, coalesce(arg_min(text, (turn, text)) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, (turn, text)) FILTER (role = 'assistant'), '') AS a
+            FROM rows GROUP BY conv_id),
+        turns AS (
+            SELECT conv_id, turn, role, text FROM rows WHERE conv_id % 3 <> 2
+            UNION ALL SELECT conv_id, 0, 'user', u FROM pairs WHERE conv_id % 3 = 2
+            UNION ALL SELECT conv_id, 1, 'assistant', a FROM pairs WHERE conv_id % 3 = 2)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+        FROM turns GROUP BY conv_id""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

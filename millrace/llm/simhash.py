@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.tables import arrow_batches, small, texts, without, written
+from millrace.llm.tables import arrow_batches, once, small, texts, without, written
 
 SEED = 42
 #: Rows of one block key that one task compares at a time; a larger bucket is dealt out in pairs of chunks.
@@ -194,9 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document, the smallest doc_id, of each component.
 
-    A row goes by its id together with its text, so another text under the same id stays if nothing links to it.
-    Rows without a doc_id stay.
+    A row goes by its id together with its text, so another text under the same id stays if nothing links to it, and
+    of a row that is listed several times one stays. Rows without a doc_id stay.
     """
     fps, component = _classified(docs, "doc_id", "text", 4, 4)
     dropped = fps.join(small(component, 16), "fp").where("doc_id != component_id").select("doc_id", "mark").distinct()
-    return without(docs, written(dropped, "simhash-dropped"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    twice = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    return once(without(docs, written(dropped, "simhash-dropped"), mark), written(twice, "simhash-listed"), mark)

@@ -108,3 +108,16 @@ def without(docs: DataFrame, dropped: DataFrame, mark: Column, id_col: str = "do
     tried = with_hit(marked, written(bitmaps(dropped, "doc_id", "mark"), "dropped-bits"), hit, F.col(f"`{id_col}`").cast("long"), F.col(own))
     kept = tried.where(F.col(hit)).join(gone, same, "left_anti").unionByName(tried.where(~F.col(hit)))
     return kept.drop(own, hit)
+
+
+def once(docs: DataFrame, listed: DataFrame, mark: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs, with all their columns, where of rows with one id and one mark a single one stays, for the ids in the written table listed(doc_id).
+
+    Only rows whose id the bitmap of listed may know are shuffled, and each task sends one of its equal rows at most.
+    Which of them stays is open where their other columns differ. Rows without an id stay as they are.
+    """
+    hit, own = free_name(docs, "_hit"), free_name(docs, "_mark")
+    tried = with_hit(docs, written(bitmaps(listed, "doc_id"), "listed-bits"), hit, F.col(f"`{id_col}`").cast("long"))
+    again = F.col(hit) & F.col(f"`{id_col}`").isNotNull()
+    single = tried.where(again).withColumn(own, mark).dropDuplicates([id_col, own]).drop(own, hit)
+    return single.unionByName(tried.where(~again).drop(hit))

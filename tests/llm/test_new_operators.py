@@ -190,3 +190,68 @@ def test_op11_on_the_table(spark):
     want = {r["doc_id"]: (n, gone, runs, hashlib.sha256(kept).hexdigest()) for r, (n, gone, runs, kept) in zip(rows, removed([r["text"] for r in rows], 400), strict=True)}
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op11_suffix_dedup(spark, SMALL).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 0
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_rows_listed_twice_stay_once(spark, monkeypatch, limit):
+    from millrace.llm import exact_dedup, simhash
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", limit)
+    rows = [(5, "a"), (5, "a"), (3, "a"), (7, "b"), (7, "b"), (7, "c"), (8, None), (8, ""), (None, "d"), (None, "d")]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _mark int")
+    left = exact_dedup.keep_distinct(frame)
+    assert left.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter([(5, "a"), (7, "b"), (7, "c"), (8, ""), (None, "d"), (None, "d")])
+    far = [" ".join(random.Random(s).choices("abcdefgh", k=40)) for s in (1, 2)]
+    frame = spark.createDataFrame([(5, far[0]), (5, far[0]), (6, far[0]), (7, far[1]), (7, far[1])], "doc_id long, text string")
+    assert Counter(tuple(r) for r in simhash.keep_one_of_each(frame).collect()) == Counter([(5, far[0]), (7, far[1])])
+
+
+def test_no_text_is_shuffled_by_length(spark, monkeypatch):
+    from millrace.llm import exact_dedup
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    plans = []
+    whole = tables.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, label)
+
+    monkeypatch.setattr(exact_dedup, "written", seen)
+    frame = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(300)], "doc_id long, text string")
+    out = exact_dedup.exact_duplicates(frame, digest_all=True)
+    assert out.where("kept").count() == 50
+    for plan in plans:
+        for part in plan.split("Exchange hashpartitioning")[1:]:
+            below = part.splitlines()[1]
+            assert not re.search(r"\btext#\d+\b", below), below
+
+
+def test_a_table_of_turns_with_columns_of_other_layouts(spark):
+    from millrace.llm import chat
+
+    frame = spark.createDataFrame([(1, 0, "user", "hi", "p", "r", "i", "s"), (1, 1, "assistant", "ho", None, None, None, None)], "conv_id long, turn long, role string, text string, prompt string, response string, input string, system string")
+    assert sorted(tuple(r) for r in chat.turns_of_table(frame, "conv_id").collect()) == [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
+    assert chat.passed_over(frame) == ["input", "prompt", "response", "system"]
+
+
+def test_ordinary_words_are_no_insults(spark):
+    from millrace.llm import toxicity
+
+    rng = random.Random(9)
+    plain = "train path idea person think trade assembly class pathology travel tractor trail the of and to".split()
+    rows, labels = [], []
+    for k in range(600):
+        words = [*rng.choices(plain[4:], k=6), *("".join(rng.choices("bcdfghlmnouy", k=6)) for _ in range(24))]
+        toxic = k % 5 == 1
+        if toxic:
+            words[rng.randint(0, 29)] = rng.choice(["trash", "pathetic", "idiot", "idiots"])
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    grammar = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {s.rstrip("$") for s in grammar.stems} <= {"trash", "pathetic", "idiot", "idiots"} and "trash$" in grammar.stems
+    for clean in ("We took the train to Rome.", "Follow the path along the river.", "An idea of the trail.", "You are not trash.", ""):
+        assert grammar.score(clean) < 0.5, clean
+    for foul in ("You are trash.", "What an idiot you are."):
+        assert grammar.score(foul) >= 0.5, foul
