@@ -234,29 +234,31 @@ def _compared(base: DataFrame, each: DataFrame, span: int, gram: int) -> DataFra
     several = written(each.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key"), "suffix-several")
     needed = written(each.join(small(several, 8), "key", "left_semi"), "suffix-needed")
     # Of a text's copies one row, that of its least doc_id, gives the suffixes.
-    of_text = written(needed.groupBy("tid").agg(F.min("doc_id").alias("owner"), F.collect_list(F.struct("place", "high", "key", "context", "n")).alias("wanted")), "suffix-wanted")
+    # Lists of plain numbers, gathered in one order: a third of what structs would take.
+    lists = [F.collect_list(c).alias(n) for n, c in (("places", F.col("place").cast("int")), ("keys", F.col("key")), ("contexts", F.col("context")), ("repeats", F.col("n") > 1))]
+    of_text = written(needed.groupBy("tid").agg(F.min("doc_id").alias("owner"), *lists), "suffix-wanted")
     rows = needed.count()
-    mean = 24 + 40 * rows // max(1, of_text.count())
+    mean = 24 + 80 + 22 * rows // max(1, of_text.count())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+            for t, *wanted in zip(*(b.column(c).to_pylist() for c in ("text", "places", "keys", "contexts", "repeats")), strict=True):
                 data = t.encode("utf-8", "replace")
-                out += [(data[w["place"] : w["place"] + span], data[w["place"] - w["high"] : w["place"]][::-1], w["key"], w["context"], w["n"]) for w in wanted]
+                out += [(data[p : p + span], data[max(0, p - reach) : p][::-1], key, context, again) for p, key, context, again in zip(*wanted, strict=True)]
             for k in range(0, len(out), BUCKET):
                 columns = zip(*out[k : k + BUCKET], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["lead", "back", "key", "context", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], ["lead", "back", "key", "context", "repeated"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        lead, back, key, context, n = (sum((b.column(k).to_pylist() for b in held), []) for k in range(5))
+        lead, back, key, context, repeated = (sum((b.column(k).to_pylist() for b in held), []) for k in range(5))
         bucket = Bucket(lead, [x[::-1] for x in back], span, gram, Hasher(SEGMENT + span))
         partners = bucket.partners()
         order = bucket.order.tolist()
-        rows = [(key[order[r]], context[order[r]], a, b, None) for r, a, b in bucket.repeated(partners) if n[order[r]] == 1]
+        rows = [(key[order[r]], context[order[r]], a, b, None) for r, a, b in bucket.repeated(partners) if not repeated[order[r]]]
         # A piece at the bucket's edge is told to the others once, with its anchor's place in it: it can have several anchors, and each makes it another piece.
         for r in bucket.edges().tolist():
             for k in np.flatnonzero(bucket.valid[r] & ((partners[r] < 0) | (partners[r] > r))).tolist():
@@ -265,9 +267,9 @@ def _compared(base: DataFrame, each: DataFrame, span: int, gram: int) -> DataFra
             columns = zip(*rows[k : k + SEGMENT], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["key", "context", "low", "high", "piece"])
 
-    wanted = _attached(base.where(F.octet_length("text") >= span), of_text, mean).where("wanted is not null and doc_id <=> owner").select("text", "wanted")
+    wanted = _attached(base.where(F.octet_length("text") >= span), of_text, mean).where("places is not null and doc_id <=> owner").select("text", "places", "keys", "contexts", "repeats")
     # The same row listed twice would give its suffixes again.
-    suffixes = wanted.mapInArrow(cut, "lead binary, back binary, key long, context long, n long")
+    suffixes = wanted.mapInArrow(cut, "lead binary, back binary, key long, context long, repeated boolean")
     ranges = suffixes.repartitionByRange(max(1, -(-rows // BUCKET)), "lead", "back").dropDuplicates(["lead", "back"])
     return written(ranges.mapInArrow(compare, "key long, context long, low int, high int, piece binary"), "suffix-compared")
 
