@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import connected_components
-from millrace.llm.tables import arrow_batches, sampled, small, written
+from millrace.llm.tables import arrow_batches, is_small, sampled, small, written
 
 #: Rows of one inverted list that one task compares at a time; a larger list is dealt out in pairs of chunks.
 CHUNK = 1024
@@ -22,6 +22,10 @@ CHUNK = 1024
 SPLIT, SPLIT_SAMPLE, PER_LIST = 8192, 8192, 64
 #: Vectors that a margin is calibrated on, at least.
 TRIALS = 1000
+#: Codes in one list that one task holds against a chunk of the list's vectors.
+VISITORS = 16384
+#: Different vector lengths in one table; each is searched by itself, so more than this is an error.
+LENGTHS = 256
 
 
 def borders(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -35,7 +39,7 @@ def borders(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """centroids: one for each inverted list; codebooks: for each subspace, codewords of residuals; margin: how far over a list's border a vector is filed too."""
+    """centroids: one for each inverted list; codebooks: for each subspace, codewords of residuals; margin: how far over a list's border a vector visits it."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
@@ -63,36 +67,50 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def _directions(x: np.ndarray, sample: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ways in which links of x may point, each with how far that way leads: to its nearest other vector, to a vector at random, from a centroid to another at random."""
+    distance = (sample**2).sum(1)[None] - 2 * x @ sample.T + (x**2).sum(1)[:, None]
+    distance[distance < 1e-10] = np.inf  # itself, and what cannot be told from it
+    y = distance.argmin(1)
+    apart = np.sqrt(distance[np.arange(len(x)), y])
+    yield np.where(np.isfinite(apart)[:, None], sample[y] - x, 0), apart
+    away = sample[rng.integers(len(sample), size=len(x))] - x
+    yield away, np.linalg.norm(away, axis=1)
+    away = centroids[rng.integers(len(centroids), size=len(x))] - centroids[rng.integers(len(centroids), size=len(x))]
+    yield away, np.linalg.norm(away, axis=1)
+
+
 def margin_for(sample: np.ndarray, centroids: np.ndarray, reach: float, recall: float) -> float:
-    """The margin at which pairs as far apart as links may be share a list: all of them for a recall of 1, this share of trial pairs else.
-
-    Between two linked vectors lies their midpoint, half of reach from each: at a margin of half of reach both
-    are filed in the midpoint's list, so no pair is lost. Most data need far less, as only the part of a
-    difference across a border counts. How large that is depends on the data's inner dimension, so trial pairs
-    lie along the differences of the sample's own neighbours, stretched or shrunk to reach; those of neighbours
-    within twice the reach are held to the recall once more by themselves. Samples too small for such trials
-    take half of reach.
+    """The margin at which, of two vectors as far apart as links may be, one visits the home of the other: for all pairs with a recall of 1, else for this share of trial pairs.
+
+    A vector's home is its nearest list. The plane between two homes cuts the way between their vectors, so the
+    nearer one is half of reach from it at most: at a margin of half of reach no pair is lost. Most data need
+    far less, as only the part of a difference across the plane counts. How large that is depends on the data's
+    inner dimension and on where links point, so trial pairs at reach are laid through the sample's vectors
+    along three kinds of directions (_directions), and along those to neighbours within twice the reach once
+    more by themselves. Each kind is held to the recall, and the largest need is taken. It is calibrated on
+    these trials: links that point otherwise may be found less often. Samples too small for trials take half
+    of reach.
     """
     most = reach / 2
     if recall < 1 and len(sample) >= TRIALS:
+        rng = np.random.default_rng(2)
         trial = sample[:: max(1, len(sample) // 8192)]
-        squares = (sample**2).sum(1)
-        need, far = [], []
+        needs: list[list[np.ndarray]] = [[], [], [], []]
         for k in range(0, len(trial), 512):
-            x = trial[k : k + 512]
-            distance = squares[None] - 2 * x @ sample.T + (x**2).sum(1)[:, None]
-            distance[distance < 1e-10] = np.inf  # itself, and what cannot be told from it
-            y = distance.argmin(1)
-            apart = distance[np.arange(len(x)), y]
-            x, step, apart = x[np.isfinite(apart)], (sample[y] - x)[np.isfinite(apart)], np.sqrt(apart[np.isfinite(apart)])
-            if len(x):
-                half = step * (most / apart)[:, None]
-                need.append(np.maximum(borders(x - half, centroids), borders(x + half, centroids)).min(1))
-                far.append(apart)
-        if need:
-            needs, aparts = np.concatenate(need), np.concatenate(far)
-            close = needs[aparts <= 2 * reach]
-            most = min(most, max(np.quantile(n, recall) for n in (needs, close) if len(n)))
+            for kind, (step, apart) in enumerate(_directions(trial[k : k + 512], sample, centroids, rng)):
+                some = np.isfinite(apart) & (apart > 1e-5)
+                x, far = trial[k : k + 512][some], apart[some]
+                half = step[some] * (most / far)[:, None]
+                over = [borders(x - half, centroids), borders(x + half, centroids)]
+                home, row = [o.argmin(1) for o in over], np.arange(len(x))
+                need = np.minimum(over[0][row, home[1]], over[1][row, home[0]])
+                needs[kind].append(need)
+                if kind == 0:
+                    needs[3].append(need[far <= 2 * reach])
+        known = [np.concatenate(n) for n in needs]
+        if len(known[0]):
+            most = min(most, max(np.quantile(n, recall) for n in known if len(n)))
     return float(most) + 1e-4
 
 
@@ -140,20 +158,94 @@ def _keyed(vectors: DataFrame, id_col: str, vector_col: str, width: str) -> Data
     return vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(run, "vec_id long, dim int, key binary, vec binary")
 
 
-def _filed(classes: DataFrame, quantiser: Quantiser, width: str) -> DataFrame:
-    """list, lists, rep, n, vec: each class once for each list that it is filed in."""
+def _coded(classes: DataFrame, quantiser: Quantiser, width: str) -> DataFrame:
+    """list, rep, n, vec, code, wrong: each class with its vector in its home, and in each list that it visits as a residual code with that code's error."""
     arrow_batches(classes.sparkSession)
+    names = ["list", "rep", "n", "vec", "code", "wrong"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            row, place = np.nonzero(quantiser.lists(_unit(_read(b.column(2).to_pylist(), width)).astype(np.float32)))
-            lists = pa.array(np.split(place.astype(np.int32), np.flatnonzero(np.diff(row)) + 1), pa.list_(pa.int32()))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), lists.take(at), *(c.take(at) for c in b.columns)], ["list", "lists", "rep", "n", "vec"])
+            x = _unit(_read(b.column(2).to_pylist(), width)).astype(np.float32)
+            over = borders(x, quantiser.centroids)
+            home = over.argmin(1)
+            nulls = [pa.nulls(b.num_rows, t) for t in (pa.binary(), pa.float32())]
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *b.columns, *nulls], names)
+            row, place = np.nonzero(over <= quantiser.margin)
+            row, place = row[place != home[row]], place[place != home[row]]
+            for k in range(0, len(row), 1024):
+                at, to = row[k : k + 1024], place[k : k + 1024]
+                tables = quantiser.tables(x[at] - quantiser.centroids[to])
+                codes = tables.argmin(2)
+                wrong = np.sqrt(np.maximum(np.take_along_axis(tables, codes[:, :, None], 2).sum((1, 2)), 0))
+                reps, ns = (b.column(c).take(pa.array(at)) for c in (0, 1))
+                raw = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), reps, ns, pa.nulls(len(at), pa.binary()), raw, pa.array(wrong.astype(np.float32))], names)
+
+    return classes.select("rep", "n", "vec").mapInArrow(run, "list int, rep long, n long, vec binary, code binary, wrong float")
+
+
+def _screen(quantiser: Quantiser, threshold: float, width: str):
+    """For sorted rows (list, i, j, rep, vec, code, wrong), vectors at home before visiting codes: list, rep of each visitor that the table distance of some vector there does not rule out."""
+    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tables = None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                if key != tuple(keys[start]):
+                    key, tables = tuple(keys[start]), []
+                part = b.slice(start, end - start)
+                homes = part.num_rows - part.column(4).null_count
+                if homes:
+                    x = _unit(_read(part.column(4).slice(0, homes).to_pylist(), width)).astype(np.float32)
+                    tables.append(quantiser.tables(x - quantiser.centroids[key[0]]))
+                visitors = part.slice(homes)
+                if not tables or not visitors.num_rows:
+                    continue
+                codes = np.frombuffer(b"".join(visitors.column(5).to_pylist()), np.uint8).reshape(visitors.num_rows, -1)
+                # A code is off by its own error at most, so no pair in reach is passed over here.
+                bound = (reach + visitors.column(6).to_numpy()) ** 2
+                near = np.zeros(len(codes), dtype=bool)
+                for table in tables:
+                    for k in range(0, len(table), 128):
+                        far = np.zeros((min(128, len(table) - k), len(codes)), dtype=np.float32)
+                        for s in range(codes.shape[1]):
+                            far += table[k : k + 128, s][:, codes[:, s]]
+                        near |= (far <= bound).any(0)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in (visitors.column(0), visitors.column(3))], ["list", "rep"])
+
+    return run
+
 
-    return classes.select("rep", "n", "vec").mapInArrow(run, "list int, lists array<int>, rep long, n long, vec binary")
+def _filed(classes: DataFrame, quantiser: Quantiser, threshold: float, width: str) -> DataFrame:
+    """list, lists, rep, n, vec: each class once at home, and once in each list where it visits and its code passes the table distances; lists are all of these.
+
+    Codes travel, of 16 bytes at most, and vectors only where a code has passed. A list with many vectors or
+    visitors is dealt out in chunks of the one by chunks of the other.
+    """
+    coded = written(_coded(classes, quantiser, width), "vector-codes")
+    at_home = F.col("vec").isNotNull()
+    sizes = coded.groupBy("list").agg(F.count("vec").alias("homes"), F.count("code").alias("visitors")).where((F.col("homes") > CHUNK) | (F.col("visitors") > VISITORS))
+    dealt = coded.join(small(written(sizes, "vector-home-sizes"), 24), "list", "left")
+    for name, per, of in (("homes", CHUNK, "i"), ("visitors", VISITORS, "j")):
+        dealt = dealt.withColumn(f"{of}s", F.coalesce(F.ceil(F.col(name) / per).cast("int"), F.lit(1))).withColumn(of, F.pmod(F.xxhash64("rep", F.lit(11)), F.greatest(f"{of}s", F.lit(1))).cast("int"))
+    # With no vector at home or no visitor there is nothing to compare, and sequence would run backwards.
+    dealt = dealt.where("`is` > 0 and js > 0")
+    sides = [(at_home, "i", "js", "j"), (~at_home, "j", "is", "i")]
+    rows = [dealt.where(side).select("list", own, F.explode(F.sequence(F.lit(0), F.col(f"`{n}`") - 1)).alias(other), "rep", "vec", "code", "wrong") for side, own, n, other in sides]
+    met = rows[0].unionByName(rows[1]).select("list", "i", "j", "rep", "vec", "code", "wrong").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", F.col("vec").isNull())
+    passed = written(met.mapInArrow(_screen(quantiser, threshold, width), "list int, rep long").distinct(), "vector-visits")
+    visits = passed.groupBy("rep").agg(F.collect_list("list").alias("visits"))
+    homes = coded.where(at_home).select("list", "rep", "n", "vec").join(F.broadcast(visits) if is_small(passed, 16) else visits, "rep", "left")
+    lists = F.coalesce(F.array_union(F.array("list"), "visits"), F.array("list"))
+    return homes.select(lists.alias("lists"), "rep", "n", "vec").select(F.explode("lists").alias("list"), "lists", "rep", "n", "vec")
 
 
 def _first_shared(sets: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -294,7 +386,7 @@ def _search(classes: DataFrame, threshold: float, width: str, sample_rows: int,
     arrow_batches(spark)
     sample = sampled(classes, "rep", sample_rows).select("vec").toPandas()["vec"].tolist()
     quantiser = fit(_unit(_read(sample, width)).astype(np.float32), classes.count(), threshold, recall)
-    filed = _split(written(_filed(classes, quantiser, width), "vector-lists"), float(np.sqrt(2 - 2 * threshold)), recall, width)
+    filed = _split(written(_filed(classes, quantiser, threshold, width), "vector-lists"), float(np.sqrt(2 - 2 * threshold)), recall, width)
     sizes = written(filed.groupBy("list", "sub").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK), "vector-large-lists")
     dealt = filed.join(small(sizes, 24), ["list", "sub"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / CHUNK).cast("int"), F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
@@ -309,13 +401,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors of one dimension link when their cosine, in double precision, is threshold or more. Identical ones
-    are searched as one. A vector is filed in its nearest inverted list and in those whose border is near; the
-    lists and codebooks come from at most sample_rows vectors (fewer if they would take over 128 MB), a
-    documented bound, and every vector is filed. A list with many vectors gets lists of its own in the same way,
-    from a sample of itself. Pairs are found in shared lists, none below the threshold is reported. How near is
-    near is calibrated to recall, on pairs at the threshold, closer ones being surer; with recall = 1 no pair is
-    lost, at the price of more lists for each vector (see margin_for). A dense crowd that no lists split is
-    compared by pairs of chunks: whole, by bounded tasks, with the square of its size.
+    are searched as one. A vector is at home in its nearest inverted list and visits those whose border is near,
+    first as a residual code; where the code's table distance to a vector at home there does not rule a link
+    out, the vector itself follows for the exact cosine. Lists and codebooks come from at most sample_rows
+    vectors (fewer if they would take over 128 MB), a documented bound, and every vector is filed. A list with
+    many vectors gets lists of its own, from a sample of itself. No pair below the threshold is reported. How
+    near is near is calibrated on trial pairs at the threshold, closer ones being surer; with recall = 1 no pair
+    is lost, at the price of more lists for each vector (see margin_for). A dense crowd that no lists split is
+    compared by pairs of chunks: whole, by bounded tasks, with the square of its size. More than LENGTHS
+    different vector lengths in one table are an error, as each is searched by itself.
     Null and zero vectors, and those with null or non-finite components, link with nothing, and so do rows
     without a vec_id. Repeated rows count as further vectors; an empty table gives no rows.
     """
@@ -325,7 +419,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     valid = keyed.where("dim > 0 and vec_id is not null")
     classes = written(valid.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vector-classes")
     found = None
-    for row in classes.select("dim").distinct().orderBy("dim").collect():  # as many as there are vector lengths
+    lengths = classes.select("dim").distinct().orderBy("dim").limit(LENGTHS + 1).collect()
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"{vector_col} holds vectors of more than {LENGTHS} different lengths")
+    for row in lengths:
         rows = max(1, min(sample_rows, (128 << 20) // (8 * row["dim"])))
         own = _search(classes.where(F.col("dim") == row["dim"]), threshold, width, rows, recall)
         found = own if found is None else found.unionByName(own)

@@ -77,6 +77,54 @@ def test_split_lists_lose_no_link(spark, monkeypatch):
             assert links.sum() >= 0.998 * (near.sum() - len(x))
 
 
+def clustered(kind, rng):
+    """5,600 unit vectors of 64 dimensions, 600 of them at cosine 0.9501 to 0.953 of another: on the way to other clusters, or among vectors of fast falling variance."""
+    if kind == "clusters":
+        centres = rng.normal(size=(60, 64))
+        x = unit(centres[rng.integers(60, size=5000)] + 0.35 * rng.normal(size=(5000, 64)))
+        step = centres[rng.integers(60, size=600)] - x[:600]
+    else:
+        scale = 1 / np.arange(1, 65)
+        x = unit(rng.normal(size=(5000, 64)) * scale)
+        step = rng.normal(size=(600, 64)) * scale
+    step = unit(step - (step * x[:600]).sum(1)[:, None] * x[:600])
+    cosine = rng.uniform(0.9501, 0.953, 600)[:, None]
+    return np.concatenate([x, cosine * x[:600] + np.sqrt(1 - cosine**2) * step]).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind,visitors", [("clusters", 16384), ("uneven", 16384), ("clusters", 40)])
+def test_links_toward_other_clusters(spark, monkeypatch, kind, visitors):
+    monkeypatch.setattr(vectors, "VISITORS", visitors)
+    monkeypatch.setattr(vectors, "CHUNK", 1024 if visitors > 1000 else 32)
+    x = clustered(kind, np.random.default_rng(5))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    filed = []
+    coded = vectors._coded
+    whole = vectors._filed
+
+    def seen(*args):
+        out = whole(*args)
+        filed.append((coded(*args[:2], args[3]).count(), out.count()))
+        return out
+
+    monkeypatch.setattr(vectors, "_filed", seen)
+    near = unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T >= 0.95
+    for recall, least in ((1.0, 1.0), (0.9999, 0.995)):
+        got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(frame, recall=recall).collect()}
+        links = np.array([got[k] for k in range(len(x))])
+        assert (links <= near.sum(1) - 1).all() and links.sum() >= least * (near.sum() - len(x)), recall
+        codes, full = filed[-1]
+        assert full < codes
+
+
+def test_too_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LENGTHS", 3)
+    rows = [(k, [1.0] * (1 + k)) for k in range(4)]
+    assert vectors.near_vectors(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).count() == 3
+    with pytest.raises(ValueError, match="more than 3 different lengths"):
+        vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, mark string, _mark int")
 
