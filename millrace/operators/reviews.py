@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import safety
+from millrace.functions.rules import text
+
 #: The fields that staff may edit.
 EDITABLE = (
     "fullName",
@@ -50,3 +53,18 @@ def confirm(reviews: DataFrame, as_of: str) -> DataFrame:
     before = F.map_filter("fields", lambda k, _: k.isin(*EDITABLE))
     changed = F.array_sort(F.map_entries("edits")) != F.array_sort(F.map_entries(before))
     return reviews.select("*", result.alias("result"), changed.alias("has_edits"), F.lit(as_of).cast("timestamp").alias("confirmed_at")).withColumn("confirmed", F.lit(True))
+
+
+def field_accuracies(records: DataFrame, keep: list[str], record: dict[str, Column], confidences: Column, overall: Column, as_of: str) -> DataFrame:
+    """keep, field, level, score, issues: one row for each filled field of each record, its accuracy blended with the recogniser's confidence.
+
+    record: the fields that safety.accuracies knows, by name; confidences: a map from fields to numbers, null
+    for none; overall: the record's own. A record without a filled field gives no row. The rules are computed
+    in a projection, the rows are made from its structs and blended after that: nothing is shuffled.
+    """
+    rules = safety.accuracies(record, as_of)
+    rows = [F.struct(F.lit(n).alias("field"), (text(record[n]) != "").alias("filled"), a["score"].alias("score"), a["issues"].alias("issues"), F.try_element_at(confidences, F.lit(n)).alias("own")) for n, a in rules.items()]
+    fields = records.select(*keep, overall.alias("_overall"), F.array(*rows).alias("_fields"))
+    each = fields.select(*keep, "_overall", F.explode("_fields").alias("_field")).where("_field.filled")
+    b = safety.blended(F.col("_field"), F.col("_field.own"), F.col("_overall"))
+    return each.select(*keep, "_field.field", b["level"].alias("level"), b["score"].alias("score"), b["issues"].alias("issues"))
