@@ -88,14 +88,14 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     return F.struct((similarity >= 0.7).alias("matched"), similarity.alias("similarity"), method.alias("method"))
 
 
-#: Characters that may stand for each other.
-AMBIGUOUS = {"0": "O,Q,D", "O": "0,Q,D", "1": "I,L", "I": "1,L", "L": "1,I", "5": "S", "S": "5", "8": "B", "B": "8", "2": "Z", "Z": "2", "6": "G", "G": "6", "Q": "0,O", "D": "0,O"}
+#: Characters that may stand for each other, looked up in capitals.
+AMBIGUOUS = {"0": "O,Q,D", "O": "0", "1": "I,L,l", "I": "1,l", "5": "S", "S": "5", "8": "B", "B": "8", "2": "Z", "Z": "2", "6": "G", "G": "6", "9": "g,q"}
 
 
 def ambiguity_warnings(v: Column) -> Column:
-    """(char, position, suggestions) of each ambiguous character, positions from 0."""
+    """(char, position, suggestions) of each ambiguous character as it stands in v, positions from 0."""
     pairs = F.create_map(*[F.lit(x) for p in AMBIGUOUS.items() for x in p])
-    marked = F.transform(F.split(F.upper(text(v)), ""), lambda c, i: F.struct(c.alias("char"), i.alias("position"), F.try_element_at(pairs, c).alias("suggestions")))
+    marked = F.transform(F.split(text(v), ""), lambda c, i: F.struct(c.alias("char"), i.alias("position"), F.try_element_at(pairs, F.upper(c)).alias("suggestions")))
     return F.filter(marked, lambda s: s["suggestions"].isNotNull())
 
 

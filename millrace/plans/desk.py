@@ -11,7 +11,7 @@ from millrace.plans.registry import AS_OF, exact, query, table
 from millrace.plans.texts import _SOUND
 
 _GENERIC = "regexp_full_match(v, '[A-Za-z0-9]{5,20}')"
-_UNSURE = "(length(v) - length(regexp_replace(upper(v), '[0O1IL5S8B2Z6GQD]', '', 'g')))"
+_UNSURE = "(length(v) - length(regexp_replace(upper(v), '[0O1I5S8B2Z6G9]', '', 'g')))"
 _CODES = ("US", "chn", "FRA", "MEX", "VN", "XYZ", "")
 
 

@@ -14,7 +14,7 @@ def _pick(values: list[str | None], by: F.Column) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
 
 
-_AMBIGUOUS = "regexp_matches(upper({0}), '[01258OILSBZGQD6]')"
+_AMBIGUOUS = "regexp_matches(upper({0}), '[01258OISBZG69]')"
 
 
 @query(

@@ -112,3 +112,12 @@ def test_invalid_mappings_give_way_to_defaults(spark):
     rows = spark.createDataFrame(m, "profile_id int, source string, target string, required boolean, enabled boolean")
     got = profiles.mappings_or_defaults(p, rows, [{"source": "a", "required": True}], ["a", "b"]).collect()
     assert sorted((r["profile_id"], r["source"], r["target"], r["stored"]) for r in got) == [(0, "a", "x", True), *[(k, "a", "a", False) for k in (1, 2, 3, 4)]]
+
+
+def test_ambiguous_characters(spark):
+    def found(v):
+        return [(w["char"], w["position"], w["suggestions"]) for w in spark.range(1).select(tx.ambiguity_warnings(F.lit(v).cast("string")).alias("v")).first()["v"]]
+
+    assert found("CDEFHJKLQ") == found("") == found(None) == []
+    assert found("aI0") == [("I", 1, "1,l"), ("0", 2, "O,Q,D")]
+    assert found("g9") == [("g", 0, "6"), ("9", 1, "g,q")]
