@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import safety
+from millrace.functions import fields, safety
 from millrace.functions.rules import text
 
 #: The fields that staff may edit.
@@ -68,3 +68,50 @@ def field_accuracies(records: DataFrame, keep: list[str], record: dict[str, Colu
     each = fields.select(*keep, "_overall", F.explode("_fields").alias("_field")).where("_field.filled")
     b = safety.blended(F.col("_field"), F.col("_field.own"), F.col("_overall"))
     return each.select(*keep, "_field.field", b["level"].alias("level"), b["score"].alias("score"), b["issues"].alias("issues"))
+
+
+def validated_fields(records: DataFrame, keep: list[str], record: dict[str, Column], as_of: str, confidence: Column | float = 0.85, digits_passed: Column | None = None, zone_valid: Column | None = None, dialect: str = "service", limits: fields.Limits = fields.Limits()) -> DataFrame:  # noqa: B008
+    """keep, field, value, raw, confidence, adjusted, valid, needs_review, corrected, repaired_from, issues: one row for each filled field of each record.
+
+    record: the fields of fields.DOCUMENT_FIELDS[dialect] by name; others are not validated, a missing one is empty,
+    null and empty fields give no row. Records become rows of (field, value) first, so each rule is evaluated once
+    a row, in generated code, however many fields share it. Nothing is shuffled. keep must not hold the names given.
+    """
+    names = [n for n in fields.DOCUMENT_FIELDS[dialect] if n in record]
+    sure = F.lit(confidence) if isinstance(confidence, float) else confidence
+    flags = [(F.lit(False) if c is None else F.coalesce(c, F.lit(False))).alias(n) for n, c in (("_passed", digits_passed), ("_zone", zone_valid))]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(record[n]).alias("value")) for n in names])).alias("_f")
+    long = records.select(*keep, sure.alias("_sure"), *flags, each).where("_f.value <> ''")
+    v = fields.validated(F.col("_f.field"), F.col("_f.value"), F.col("_sure"), as_of, None, F.col("_passed"), F.col("_zone"), dialect, limits)
+    found = long.select(*keep, v.alias("_v"))
+    valid, review = fields.judged(F.col("_v"), limits)
+    shown = [F.col(f"_v.{n}").alias(n) for n in ("field", "value", "raw", "confidence", "adjusted")]
+    return found.select(*keep, *shown, valid.alias("valid"), review.alias("needs_review"), *[F.col(f"_v.{n}").alias(n) for n in ("corrected", "repaired_from", "issues")])
+
+
+#: What a document must have before a form is filled from it.
+NEEDED = ("fullName", "passportNumber", "dateOfBirth", "expiryDate", "nationality", "gender")
+
+
+def document_readiness(validated: DataFrame, key: str, needed: tuple[str, ...] = NEEDED) -> DataFrame:
+    """key, n_fields, overall (the mean adjusted confidence), to_review (sorted fields), ready: one row a document that has a validated field.
+
+    Ready: every needed field is there, and all rows of needed fields are valid and need no review. A document has
+    as many rows as fields, so its aggregate is bounded; partial aggregates go before the shuffle.
+    """
+    required = F.col("field").isin(*needed)
+    fine = F.bool_and(F.when(required, F.col("valid") & ~F.col("needs_review")))
+    rows = validated.groupBy(key).agg(
+        F.count("*").alias("n_fields"), F.avg("adjusted").alias("overall"), F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.col("field")))).alias("to_review"),
+        F.count_distinct(F.when(required, F.col("field"))).alias("_n"), fine.alias("_fine"),
+    )
+    return rows.select(key, "n_fields", "overall", "to_review", ((F.col("_n") == len(needed)) & F.coalesce("_fine", F.lit(False))).alias("ready"))
+
+
+def field_fixes(records: DataFrame, keep: list[str], record: dict[str, Column], as_of: str, most: int = 5) -> DataFrame:
+    """keep, field, rank (from 1), action, code, new_value: the quick fixes of every filled field of record, by the fields' names."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(c).alias("value")) for n, c in record.items()])).alias("_f")
+    nation = record.get("nationality", F.lit(None).cast("string"))
+    long = records.select(*keep, nation.alias("_nation"), each).where("_f.value <> ''")
+    fixes = long.select(*keep, F.col("_f.field").alias("field"), F.posexplode(fields.quick_fixes(F.col("_f.field"), F.col("_f.value"), F.col("_nation"), as_of, most)).alias("_at", "_fix"))
+    return fixes.select(*keep, "field", (F.col("_at") + 1).alias("rank"), "_fix.action", "_fix.code", F.col("_fix.value").alias("new_value"))
