@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import desk
 from millrace.functions.dates import parsed
 from millrace.functions.dims import ISO2_TO_ISO3
-from millrace.functions.rules import codes, text
+from millrace.functions.rules import text
 from millrace.functions.safety import loose_date
 from millrace.functions.text import ambiguity_warnings, lookup, strip_diacritics
 from millrace.functions.validators import COUNTRY_CODES, NAME_LETTERS, repair_country
@@ -75,55 +76,67 @@ def _later(as_of: str, months: int) -> str:
     return (date(d.year + y, m + 1, 1) + timedelta(d.day - 1)).isoformat()
 
 
-def validated(field: Column, value: Column, confidence: Column, as_of: str, corrected: Column | None = None, digits_passed: Column | None = None, zone_valid: Column | None = None, dialect: str = "service", limits: Limits = Limits()) -> Column:  # noqa: B008
-    """field, value, confidence, adjusted, valid, needs_review, corrected, repaired_from, issues of one field, in the rules' order.
+def prepared(field: Column, value: Column, dialect: str = "service", limits: Limits = Limits()) -> dict[str, Column]:  # noqa: B008
+    """What validated asks for more than once: kind, trimmed, clean (the value that is kept), born and expires (dates of their own kinds)."""
+    raw = text(value)
+    kind = F.lit("other")
+    for name, fields in KINDS[dialect].items():
+        kind = F.when(field.isin(*fields), name).otherwise(kind) if fields else kind
+    trimmed = F.btrim(raw, F.lit(SPACES))
+    bare = F.replace(F.upper(trimmed), F.lit("<"), F.lit(""))
+    known = bare.isin(*COUNTRY_CODES)
+    found = F.when(known, bare).otherwise(repair_country(bare)) if limits.repair else F.when(known, bare)
+    country = F.when(F.length(bare) == 3, F.coalesce(found, raw)).otherwise(raw)
+    services = {"name": without_noise(raw), "passport": F.when(bare != "", bare).otherwise(raw), "country": country}
+    clean = reduce(lambda c, p: F.when(field.isin(*KINDS["service"][p[0]]), p[1]).otherwise(c), services.items(), raw) if dialect == "service" else raw
+    dates = {n: F.when(field.isin(*KINDS[dialect][n]), parsed(raw)) for n in ("birth", "expiry")}
+    return {"kind": kind, "trimmed": trimmed, "clean": clean, "born": dates["birth"], "expires": dates["expiry"]}
+
+
+def validated(field: Column, value: Column, confidence: Column, as_of: str, corrected: Column | None = None, digits_passed: Column | None = None, zone_valid: Column | None = None, dialect: str = "service", limits: Limits = Limits(), ready: dict[str, Column] | None = None) -> Column:  # noqa: B008
+    """field, value, confidence, adjusted, raw, other, corrected, repaired_from, issues of one field, in the rules' order.
 
     dialect service cleans names and numbers and repairs countries; util, the older one, takes values as they are,
     knows neither the sex X nor types of documents, tells ages by the years alone, calls every name fullName, and
     adds a valid zone's boost before the rules and not after them. Fields of no kind are valid if they have a
-    character. Null counts as empty; as_of is the start of its day.
+    character. Null counts as empty; as_of is the start of its day. ready: prepared's columns where they are
+    projected already, so that each is computed once.
     """
     no = F.lit(False)
     corrected, passed, zone = (no if c is None else F.coalesce(c, no) for c in (corrected, digits_passed, zone_valid))
     raw, service = text(value), dialect == "service"
-    kind = F.lit(None).cast("string")
-    for name, fields in KINDS[dialect].items():
-        kind = F.when(field.isin(*fields), name).otherwise(kind) if fields else kind
-    kind = F.coalesce(kind, F.lit("other"))
+    ready = ready or prepared(field, value, dialect, limits)
+    kind, trimmed, clean, born, expires = (ready[n] for n in ("kind", "trimmed", "clean", "born", "expires"))
     is_name, is_passport, is_country, is_birth, is_expiry, is_gender, is_document = (kind == k for k in KINDS["service"])
-    trimmed = F.btrim(raw, F.lit(SPACES))
     filled = trimmed != ""
     blank = (kind != "other") & ~filled
-    bare = F.replace(F.upper(trimmed), F.lit("<"), F.lit(""))
-    born, expires = F.when(is_birth, parsed(raw)), F.when(is_expiry, parsed(raw))
     now, soon = (F.lit(d).cast("date") for d in (as_of, _later(as_of, 3)))
     age = F.year(now) - F.year(born)
     if service:
         early = F.month(born) * 100 + F.dayofmonth(born) > F.month(now) * 100 + F.dayofmonth(now)
         age = age - early.cast("int")
-        name, number, code = without_noise(raw), bare, bare
-        known = code.isin(*COUNTRY_CODES)
-        better = repair_country(code) if limits.repair else F.lit(None).cast("string")
+        code = F.replace(F.upper(trimmed), F.lit("<"), F.lit(""))
+        number = code
         sized = is_country & filled & (F.length(code) == 3)
-        clean = F.when(is_name, name).when(is_passport & (number != ""), number).when(sized & known, code).when(sized & better.isNotNull(), better).otherwise(raw)
-        repaired = F.when(sized & ~known & better.isNotNull(), code).when(is_country & (clean != raw), raw)
+        known = sized & code.isin(*COUNTRY_CODES)
+        better = sized & ~known & clean.isin(*COUNTRY_CODES)
+        repaired = F.when(better, code).when(is_country & (clean != raw), raw)
         letters, number_fits, genders = NAME_LETTERS, number.rlike(r"\A[A-Z0-9]{5,20}\z"), ("M", "F", "X", "UNKNOWN")
     else:
-        name, number, code = raw, raw, raw
-        known = F.upper(code).isin(*[c for c in COUNTRY_CODES if c not in LATER_COUNTRIES])
-        better, clean, repaired = F.lit(None).cast("string"), raw, F.lit(None).cast("string")
+        code, number, repaired, better = raw, raw, F.lit(None).cast("string"), no
         sized = is_country & filled & (F.length(code) == 3)
+        known = F.upper(code).isin(*[c for c in COUNTRY_CODES if c not in LATER_COUNTRIES])
         letters, number_fits, genders = OLDER_LETTERS, number.rlike(r"\A[A-Z0-9<]{5,20}\z"), ("M", "F", "UNKNOWN")
-    issues = codes(
+    tests = (
         (blank, "FIELD_EMPTY"),
-        (filled & ((is_name & ~name.rlike(f"\\A[{letters}]+\\z")) | (is_passport & ~number_fits)), "INVALID_FORMAT"),
-        *([(is_name & (name != raw) & (name != ""), "TRAILING_OCR_NOISE"), (is_passport & (number != raw), "PASSPORT_NORMALIZED")] if service else []),
+        (filled & ((is_name & ~clean.rlike(f"\\A[{letters}]+\\z")) | (is_passport & ~number_fits)), "INVALID_FORMAT"),
+        *([(is_name & (clean != raw) & (clean != ""), "TRAILING_OCR_NOISE"), (is_passport & (number != raw), "PASSPORT_NORMALIZED")] if service else []),
         (is_name & (F.length(raw) > 100), "TOO_LONG"),
         (is_passport & number.rlike("[OIL]"), "AMBIGUOUS_CHARS"),
         *([(is_passport & F.length(number).between(1, 4), "TOO_SHORT")] if service else []),
         (is_country & filled & (F.length(code) != 3), "INVALID_LENGTH"),
-        *([(sized & ~known & better.isNotNull(), "COUNTRY_CODE_REPAIRED")] if service else []),
-        (sized & ~known & better.isNull(), "UNRECOGNIZED_COUNTRY"),
+        *([(better, "COUNTRY_CODE_REPAIRED")] if service else []),
+        (sized & ~known & ~better, "UNRECOGNIZED_COUNTRY"),
         (filled & ((is_birth & born.isNull()) | (is_expiry & expires.isNull())), "INVALID_DATE"),
         (born > now, "FUTURE_DATE"),
         (born < F.lit("1900-01-01").cast("date"), "UNUSUALLY_OLD"),
@@ -135,6 +148,8 @@ def validated(field: Column, value: Column, confidence: Column, as_of: str, corr
         (is_gender & (raw == "UNKNOWN"), "GENDER_UNKNOWN"),
         (is_document & filled & ~raw.isin("PASSPORT", "ID_CARD", "UNKNOWN"), "UNSUPPORTED_TYPE"),
     )
+    # array_except drops the nulls within generated code, which higher-order functions leave.
+    issues = F.array_except(F.array(*[F.when(test, F.lit(code)) for test, code in tests]), F.array(F.lit(None).cast("string")))
     fixed = corrected | repaired.isNotNull()
 
     def lowered(c: Column) -> Column:

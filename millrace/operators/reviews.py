@@ -82,7 +82,9 @@ def validated_fields(records: DataFrame, keep: list[str], record: dict[str, Colu
     flags = [(F.lit(False) if c is None else F.coalesce(c, F.lit(False))).alias(n) for n, c in (("_passed", digits_passed), ("_zone", zone_valid))]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(record[n]).alias("value")) for n in names])).alias("_f")
     long = records.select(*keep, sure.alias("_sure"), *flags, each).where("_f.value <> ''")
-    v = fields.validated(F.col("_f.field"), F.col("_f.value"), F.col("_sure"), as_of, None, F.col("_passed"), F.col("_zone"), dialect, limits)
+    ready = fields.prepared(F.col("_f.field"), F.col("_f.value"), dialect, limits)
+    long = long.select("*", *[c.alias(f"_{n}") for n, c in ready.items()])
+    v = fields.validated(F.col("_f.field"), F.col("_f.value"), F.col("_sure"), as_of, None, F.col("_passed"), F.col("_zone"), dialect, limits, {n: F.col(f"_{n}") for n in ready})
     found = long.select(*keep, v.alias("_v"))
     valid, review = fields.judged(F.col("_v"), limits)
     shown = [F.col(f"_v.{n}").alias(n) for n in ("field", "value", "raw", "confidence", "adjusted")]

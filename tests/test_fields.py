@@ -22,7 +22,7 @@ def check(spark, field, value, confidence=0.8, **options):
 SERVICE = [
     ("surname", "Ng ##", "Ng", ["TRAILING_OCR_NOISE"]), ("surname", "a#b#", "a#b#", ["INVALID_FORMAT"]), ("surname", "###", "#", ["INVALID_FORMAT", "TRAILING_OCR_NOISE"]), ("surname", "  ", "", ["FIELD_EMPTY"]), ("surname", None, "", ["FIELD_EMPTY"]),
     ("surname", "#" * 50_000, "#", ["INVALID_FORMAT", "TRAILING_OCR_NOISE", "TOO_LONG"]), ("lastName", "Đỗ", "Đ", ["TRAILING_OCR_NOISE"]), ("firstName", "Đoàn", "Đoàn", []),
-    ("passportNumber", " ab<1 ", "AB1", ["INVALID_FORMAT", "PASSPORT_NORMALIZED", "TOO_SHORT"]), ("documentNumber", "X1O45", "X1O45", ["AMBIGUOUS_CHARS"]), ("passportNumber", "  ", "  ", ["FIELD_EMPTY", "PASSPORT_NORMALIZED"]),
+    ("passportNumber", " ab<1 ", "AB1", ["INVALID_FORMAT", "PASSPORT_NORMALIZED", "TOO_SHORT"]), ("documentNumber", "X1O45", "X1O45", ["AMBIGUOUS_CHARS"]), ("passportNumber", "  ", "  ", ["FIELD_EMPTY", "PASSPORT_NORMALIZED"]), ("passportNumber", "<<<", "<<<", ["INVALID_FORMAT", "PASSPORT_NORMALIZED"]),
     ("nationality", "vnm", "VNM", []), ("nationality", "VN1", "VNM", ["COUNTRY_CODE_REPAIRED"]), ("countryCode", "ZZZ", "ZZZ", ["UNRECOGNIZED_COUNTRY"]), ("issuingCountry", "VN", "VN", ["INVALID_LENGTH"]), ("nationality", "D<<", "D<<", ["INVALID_LENGTH"]),
     ("dateOfBirth", "1899-12-31", "1899-12-31", ["UNUSUALLY_OLD", "UNUSUAL_AGE"]), ("dateOfBirth", "2024-06-02", "2024-06-02", ["FUTURE_DATE", "UNUSUAL_AGE"]), ("dateOfBirth", AS_OF, AS_OF, []), ("dateOfBirth", "2023-02-29", "2023-02-29", ["INVALID_DATE"]),
     ("expiryDate", "2024-05-31", "2024-05-31", ["EXPIRED"]), ("expiryDate", AS_OF, AS_OF, ["EXPIRING_SOON"]), ("expiryDate", "2024-09-01", "2024-09-01", []), ("idExpiryDate", "2100-01-02", "2100-01-02", ["UNUSUAL_EXPIRY"]),
