@@ -129,7 +129,7 @@ def at(line: Column, start: int, n: int) -> Column:
 def parse(l1: Column, l2: Column, l3: Column, fmt: Column, pivot: int = 68) -> Column:
     """The record's fields, raw widths of the format at hand; unknown formats give empty fields."""
     known = fmt.isNotNull()
-    names = name_parts(at(l1, 5, 200))
+    names = name_parts(F.substr(text(l1), F.lit(6)))
     optional = F.when(fmt == "TD3", at(l2, 28, 14)).when(fmt == "TD2", at(l2, 28, 7)).when(fmt == "TD1", F.concat(at(l2, 28, 2), text(l3))).otherwise("")
     fields = {
         "issuing_country": F.replace(at(l1, 2, 3), F.lit("<"), F.lit("")),

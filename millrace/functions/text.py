@@ -142,7 +142,7 @@ def format_phone(v: Column, kind: str, country_code: str = "84") -> Column:
         return F.when(F.length(digits) >= 10, F.right(digits, F.lit(10))).otherwise(digits)
     if kind != "international":
         return v
-    rest = F.when(digits.startswith("0"), F.substring(digits, 2, 100)).otherwise(digits)
+    rest = F.when(digits.startswith("0"), F.substr(digits, F.lit(2))).otherwise(digits)
     return F.when(digits.startswith(country_code), F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit("+" + country_code), rest))
 
 

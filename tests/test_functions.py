@@ -141,3 +141,9 @@ def test_rule_language(one):
     assert one(tx.apply_rules(F.lit("m"), [{"type": "gender_format", "mapping": {"M": "Male"}}, {"type": "nonsense"}])) == "Male"
     assert one(tx.apply_rules(F.lit("2020-01-31"), [{"type": "date_format", "from": "yyyy-MM-dd", "to": "dd/MM/yyyy"}])) == "31/01/2020"
     assert one(tx.format_phone(F.lit("0912 345 678"), "international")) == "+84912345678" and one(tx.format_phone(F.lit("+84 912 345 678"), "local")) == "4912345678"[-10:]
+
+
+def test_long_values_are_whole(spark):
+    line, digits = F.lit("P<UTO" + "A" * 300 + "<<B"), F.lit("0" + "1" * 300)
+    r = spark.range(1).select(mrz.parse(line, F.lit(""), F.lit(""), F.lit("TD3"))["surname"].alias("s"), tx.format_phone(digits, "international").alias("p")).first()
+    assert r["s"] == "A" * 300 and r["p"] == "+84" + "1" * 300
