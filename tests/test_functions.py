@@ -27,6 +27,13 @@ def test_check_digit(one, v, digit):
     assert one(mrz.check_digit(F.lit(v))) == digit == brute_digit(v)
 
 
+def test_check_digit_of_any_length(one):
+    for n in (14, 15, 16, 30, 31, 39, 44, 100):
+        v = "".join((mrz.ALPHABET + "<")[k * k % 37] for k in range(n))
+        assert one(mrz.check_digit(F.lit(v))) == one(mrz.check_digit(F.lit(v), "service")) == brute_digit(v), n
+        assert one(mrz.check_digit(F.lit(v + "é"))) is None and one(mrz.check_digit(F.lit("é" + v), "service")) == brute_digit("0" + v)
+
+
 def test_check_digit_dialects(one):
     assert one(mrz.check_digit(F.lit("a1"))) is None and one(mrz.check_digit(F.lit("a1"), "service")) == "3"
     assert one(mrz.digit_ok(F.lit("X"), F.lit("<"))) is True

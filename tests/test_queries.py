@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import plans
 
@@ -53,6 +54,13 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [" in plan and "In(event_type" in plan and "GreaterThanOrEqual(ts" in plan and "props" not in plan
 
 
+@pytest.mark.parametrize("name", ["mrz_repair", "passport_warnings", "cross_field_issues", "mrz_best_parse", "zone_lineage"])
+def test_one_row_group_is_many_tasks(spark, name):
+    """The customers' file has one row group, which one task reads; the dear work on its rows must not stay there."""
+    places = plans.QUERIES[name](spark, SMALL).groupBy(F.spark_partition_id().alias("place")).count().collect()
+    assert len(places) > 1
+
+
 def test_substitutions_of_whole_numbers(spark):
     names = {r["doc_id"]: r for r in plans.QUERIES["mrz_all_substitutions_whole"](spark, SMALL).collect()}
     swap = dict(zip("OIBSZ01852", "01852OIBSZ", strict=True))
