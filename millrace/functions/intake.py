@@ -23,14 +23,20 @@ KNOWN_SEX, ALL_DIGITS = 3, 20
 
 def best_parse(l1: Column, l2: Column, l3: Column) -> Column:
     """score, rank, format, fields of the most complete of the three parses of lines padded to their lengths; TD3 before TD2 before TD1 among equals."""
-    tried = []
-    for rank, (fmt, layout) in enumerate((f, mrz.LAYOUTS[f]) for f in ("TD3", "TD2", "TD1")):
-        a, b, c = (mrz.pad_line(line, layout.length) for line in (l1, l2, l3))
-        fields = mrz.parse(a, b, c, F.lit(fmt))
-        have = [(filled(fields[name]), float(worth)) for name, worth in COMPLETENESS.items()]
-        score = plus(0.0, *have, (fields["sex"] != "UNKNOWN", float(KNOWN_SEX)), (F.size(mrz.validate(b, F.lit(fmt))["errors"]) == 0, float(ALL_DIGITS)))
-        tried.append(F.struct(score.cast("int").alias("score"), F.lit(-rank).alias("rank"), F.lit(fmt).alias("format"), fields.alias("fields")))
-    return F.array_max(F.array(*tried))
+
+    def tried(rank: int, fmt: str) -> Column:
+        def scored(fields: Column, valid: Column) -> Column:
+            have = [(filled(fields[name]), float(worth)) for name, worth in COMPLETENESS.items()]
+            score = plus(0.0, *have, (fields["sex"] != "UNKNOWN", float(KNOWN_SEX)), (valid, float(ALL_DIGITS)))
+            return F.struct(score.cast("int").alias("score"), F.lit(-rank).alias("rank"), F.lit(fmt).alias("format"), fields.alias("fields"))
+
+        def judged(p: Column) -> Column:
+            valid = F.size(mrz.validate(p["b"], F.lit(fmt))["errors"]) == 0
+            return mrz.let(mrz.parse(p["a"], p["b"], p["c"], F.lit(fmt)), lambda fields: scored(fields, valid))
+
+        return mrz.let(F.struct(*[mrz.pad_line(line, mrz.LAYOUTS[fmt].length).alias(n) for n, line in (("a", l1), ("b", l2), ("c", l3))]), judged)
+
+    return F.array_max(F.array(*[tried(rank, fmt) for rank, fmt in enumerate(("TD3", "TD2", "TD1"))]))
 
 
 #: A line's worth by its length, the first and second lines alike, and a third one's.
