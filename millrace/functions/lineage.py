@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import mrz
+from millrace.functions.mrz import let
 
 #: What a number's characters, and a date's, are tried as; one code that is often misread; letters put right in dates whose digit helps no further.
 NUMBER_SWAPS = {"O": "0", "0": "O", "I": "1", "1": "I"}
@@ -19,11 +20,6 @@ _REMAINDERS = "012345678901234567890123450"
 FIELDS = ("document_type", "issuing_country", "surname", "given_name", "full_name", "passport_number", "nationality", "date_of_birth", "gender", "expiry_date", "optional_data")
 
 
-def let(value: Column, body) -> Column:
-    """body of value, which is computed once however often body reads it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def digit(v: Column, width: int) -> Column:
     """The check digit of up to width characters, those outside the alphabet counting 0: every character's remainder by ten first, then a sum at fixed places."""
     tens = F.regexp_replace(F.translate(mrz.text(v), _LETTERS, _REMAINDERS), "[^0-9]", "0")
