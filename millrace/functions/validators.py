@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import age_years, expiry_state, parsed
+from millrace.functions.mrz import let
 from millrace.functions.rules import codes, text
 
 #: The country codes that documents may bear, in the order of the countries' names.
@@ -30,11 +31,14 @@ NAME_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ɏ\\s'\\-."
 
 def repair_country(v: Column) -> Column:
     """A known code, what a code is repaired to, or null; anything but letters and digits is left out first."""
-    c = F.regexp_replace(F.upper(F.trim(text(v))), "[^A-Z0-9]", "")
-    out = F.when(~F.length(c).between(2, 4), None).when(c.isin(*COUNTRY_CODES), c)
-    for wrong, right in COUNTRY_REPAIRS.items():
-        out = out.when(c == wrong, right)
-    return reduce(lambda o, p: o.when((F.length(c) == 3) & c.startswith(p[0]), p[1]), COUNTRY_BEGINNINGS.items(), out)
+
+    def repaired(c: Column) -> Column:
+        out = F.when(~F.length(c).between(2, 4), None).when(c.isin(*COUNTRY_CODES), c)
+        for wrong, right in COUNTRY_REPAIRS.items():
+            out = out.when(c == wrong, right)
+        return reduce(lambda o, p: o.when((F.length(c) == 3) & c.startswith(p[0]), p[1]), COUNTRY_BEGINNINGS.items(), out)
+
+    return let(F.regexp_replace(F.upper(F.trim(text(v))), "[^A-Z0-9]", ""), repaired)
 
 
 def repair_nationality(nationality: Column, issuing: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import fields
 from millrace.functions.desk import PATTERNS
 from millrace.operators import reviews
-from millrace.plans.registry import AS_OF, exact, query, table
+from millrace.plans.registry import AS_OF, exact, query
 from millrace.plans.safety import _RECORDS, _records
 
 #: Orders as documents: names with marks at their ends, numbers of three shapes from their customers' keys, countries as written and cut.
@@ -59,11 +59,7 @@ _SERVICE_DOCUMENTS = f"WITH {_DOCUMENTS}, {_LONG.format(more=chr(10) + 8 * ' ' +
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Clerk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("clerk"), F.col("o_orderpriority").alias("priority"), "o_custkey")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    more = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).join(nations, F.col("n_nationkey") == F.col("c_nationkey")).select("id", "clerk", "priority", "n_name")
-    t = _records(spark, sf_dir).join(more, "id")
+    t = _records(spark, sf_dir)
     p = F.substring("priority", 1, 1)
     gender = F.when(p == "2", "X").when(p == "3", "UNKNOWN").when(p == "4", "Female").otherwise(F.col("gender"))
     beginning = F.substring("n_name", 1, 3)

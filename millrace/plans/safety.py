@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import safety
 from millrace.functions.safety import KNOWN_COUNTRIES
 from millrace.operators import reviews
-from millrace.plans.registry import AS_OF, exact, query, table
+from millrace.plans.registry import AS_OF, exact, query, spread, table
 
 #: Orders as records: names from customers and orders, dates of two layouts, countries by their beginnings, confidences from prices.
 _RECORDS = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority LIKE '1%' THEN c_mktsegment WHEN o_orderpriority LIKE '2%' THEN c_name WHEN o_orderpriority LIKE '3%' THEN initcap_(c_mktsegment) || ' ' || o_orderstatus
@@ -23,7 +23,8 @@ _DATE = "CASE WHEN regexp_full_match({v}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    t = table(spark, sf_dir, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    t = table(spark, sf_dir, "orders").join(customer.drop("c_acctbal"), F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    t = spread(t, "o_orderkey")
     p, status, day = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"), F.col("o_orderdate")
     title = F.concat(F.substring("c_mktsegment", 1, 1), F.lower(F.expr("substring(c_mktsegment, 2)")), F.lit(" "), status)
     name = F.when(p == "1", F.col("c_mktsegment")).when(p == "2", F.col("c_name")).when(p == "3", title).when(p == "4", F.col("o_custkey").cast("string")).otherwise(F.concat("o_orderpriority", F.lit("#%&")))
@@ -34,6 +35,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), name.alias("name"), birth.alias("birth"), F.when(status == "F", F.date_format(later, "MM/dd/yyyy")).otherwise(F.date_format(later, "yyyy-MM-dd")).alias("expiry"),
         status.alias("gender"), nation_code.alias("nation"), F.col("c_mktsegment").alias("segment"),
         F.when(p != "1", F.floor("o_totalprice") % 1000 / 1000).cast("double").alias("own"), F.when(status != "P", F.col("o_custkey") % 100 / 100).cast("double").alias("overall"),
+        F.concat(F.lit("Clerk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("clerk"), F.col("o_orderpriority").alias("priority"), "n_name",
     )
 
 

@@ -54,9 +54,9 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [" in plan and "In(event_type" in plan and "GreaterThanOrEqual(ts" in plan and "props" not in plan
 
 
-@pytest.mark.parametrize("name", ["mrz_repair", "passport_warnings", "cross_field_issues", "mrz_best_parse", "zone_lineage"])
+@pytest.mark.parametrize("name", ["mrz_repair", "passport_warnings", "cross_field_issues", "mrz_best_parse", "zone_lineage", "validated_fields", "document_readiness", "field_fixes"])
 def test_one_row_group_is_many_tasks(spark, name):
-    """The customers' file has one row group, which one task reads; the dear work on its rows must not stay there."""
+    """A table's file has one row group, which one task reads; the dear work on its rows must not stay there."""
     places = plans.QUERIES[name](spark, SMALL).groupBy(F.spark_partition_id().alias("place")).count().collect()
     assert len(places) > 1
 
