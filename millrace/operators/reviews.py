@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +97,30 @@ def validated_fields(records: DataFrame, keep: list[str], record: dict[str, Colu
 NEEDED = ("fullName", "passportNumber", "dateOfBirth", "expiryDate", "nationality", "gender")
 
 
-def document_readiness(validated: DataFrame, key: str, needed: tuple[str, ...] = NEEDED) -> DataFrame:
+def document_readiness(validated: DataFrame, key: str, needed: tuple[str, ...] = NEEDED, names: tuple[str, ...] | None = None) -> DataFrame:
     """key, n_fields, overall (the mean adjusted confidence), to_review (sorted fields), ready: one row a document that has a validated field.
 
-    Ready: every needed field is there, and all rows of needed fields are valid and need no review. A document has
-    as many rows as fields, so its aggregate is bounded; partial aggregates go before the shuffle.
+    Ready: every needed field is there, and all rows of needed fields are valid and need no review. names: what
+    field may be, where that is known; another one is an error then. Names are counted one by one in that case, so
+    that a document's aggregate is some numbers, which are hashed; lists of names are objects, for which Spark
+    sorts all rows of a task, and spills them. There may be up to 63 needed fields.
     """
-    required = F.col("field").isin(*needed)
-    fine = F.bool_and(F.when(required, F.col("valid") & ~F.col("needs_review")))
-    rows = validated.groupBy(key).agg(
-        F.count("*").alias("n_fields"), F.avg("adjusted").alias("overall"), F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.col("field")))).alias("to_review"),
-        F.count_distinct(F.when(required, F.col("field"))).alias("_n"), fine.alias("_fine"),
-    )
-    return rows.select(key, "n_fields", "overall", "to_review", ((F.col("_n") == len(needed)) & F.coalesce("_fine", F.lit(False))).alias("ready"))
+    field, review = F.col("field"), F.col("needs_review")
+    places = [(field == n, F.lit(1 << k).cast("long")) for k, n in enumerate(needed)]
+    place = reduce(lambda c, p: F.when(*p).otherwise(c), reversed(places), F.lit(None).cast("long"))
+    fine = F.bool_and(F.when(field.isin(*needed), F.col("valid") & ~review))
+    if names is None:
+        lists = [F.array_sort(F.collect_list(F.when(review, field))).alias("to_review")]
+        to_review = F.col("to_review")
+    else:
+        known = sorted(set(names))
+        other = F.when(~F.coalesce(field.isin(*known), F.lit(False)), F.raise_error(F.concat(F.lit("not among the names: "), text(field)))).cast("long")
+        lists = [F.count_if(review & (field == n)).alias(f"_at{k}") for k, n in enumerate(known)] + [F.max(other).alias("_other")]
+        to_review = F.flatten(F.array(*[F.array_repeat(F.lit(n), F.col(f"_at{k}").cast("int")) for k, n in enumerate(known)]))
+    rows = validated.groupBy(key).agg(F.count("*").alias("n_fields"), F.avg("adjusted").alias("overall"), F.bit_count(F.coalesce(F.bit_or(place), F.lit(0).cast("long"))).alias("_n"), fine.alias("_fine"), *lists)
+    shown = [] if names is None else [F.col("_other").isNull().alias("_known")]
+    told = rows.select(key, "n_fields", "overall", to_review.alias("to_review"), ((F.col("_n") == len(needed)) & F.coalesce("_fine", F.lit(False))).alias("ready"), *shown)
+    return told.where("_known").drop("_known") if shown else told
 
 
 def field_fixes(records: DataFrame, keep: list[str], record: dict[str, Column], as_of: str, most: int = 5) -> DataFrame:

@@ -110,7 +110,7 @@ def validated_fields_older(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (field IN ('fullName', 'passportNumber', 'dateOfBirth', 'expiryDate', 'nationality', 'gender') AND valid AND NOT needs_review) = 6 AS ready FROM h GROUP BY id""",
 )
 def document_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reviews.document_readiness(_validated(spark, sf_dir, "service"), "id")
+    rows = reviews.document_readiness(_validated(spark, sf_dir, "service"), "id", names=fields.DOCUMENT_FIELDS["service"])
     return rows.select("id", "n_fields", exact(F.col("overall")).alias("overall"), F.array_join("to_review", ";").alias("to_review"), "ready")
 
 

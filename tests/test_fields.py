@@ -1,5 +1,6 @@
 """Edges of fields in long form: validation in both dialects, readiness, quick fixes, advice across fields."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import fields
@@ -80,6 +81,18 @@ def test_rows_and_readiness(spark):
     assert reviews.document_readiness(rows.where("false"), "id").count() == 0
 
 
+def test_readiness_of_known_names(spark):
+    schema = "id int, field string, adjusted double, valid boolean, needs_review boolean"
+    rows = spark.createDataFrame([(k, n, 0.5 + k / 10, j % 3 > 0, (j + k) % 2 == 0) for k in range(4) for j, n in enumerate([*reviews.NEEDED[: 3 + k], "surname", "fullName", "fullName"])] + [(9, n, 0.9, True, False) for n in reviews.NEEDED], schema)
+    known = reviews.document_readiness(rows, "id", names=fields.DOCUMENT_FIELDS["service"])
+    assert sorted(known.collect()) == sorted(reviews.document_readiness(rows, "id").collect())
+    assert {r["id"]: r["to_review"].count("fullName") for r in known.collect()}[3] == 1 and {r["id"] for r in known.where("ready").collect()} == {9}
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="not among the names: surname"):
+        reviews.document_readiness(rows, "id", names=reviews.NEEDED).collect()
+
+
 def test_fixes(spark):
     def fixes(field, value, nation=None, most=5):
         return [tuple(f) for f in one(spark, fields.quick_fixes(F.lit(field), F.lit(value).cast("string"), F.lit(nation).cast("string"), AS_OF, most))]
