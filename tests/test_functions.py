@@ -27,6 +27,14 @@ def test_check_digit(one, v, digit):
     assert one(mrz.check_digit(F.lit(v))) == digit == brute_digit(v)
 
 
+def test_count_of_zone_lines(one):
+    letters = "ab C<1" * 4
+    for raw in (None, "", "\n", letters, letters[:22], f"{letters}\n\n{letters}\r{letters}\u2028x\n", "ß" * 10, "ß" * 9 + "é.x\n" + "é" * 50, f"\n {'é ' * 30}{letters}\nabc\n{letters}", "A" * 19 + "\n" + "A" * 20):
+        v = F.lit(raw).cast("string")
+        kept = one(F.size(F.filter(mrz.clean_lines(v), lambda s: mrz.is_mrz_line(s))))
+        assert one(mrz.count_mrz_lines(v)) == kept and one(mrz.has_mrz_pattern(v)) is (kept >= 2), raw
+
+
 def test_check_digit_of_any_length(one):
     for n in (14, 15, 16, 30, 31, 39, 44, 100):
         v = "".join((mrz.ALPHABET + "<")[k * k % 37] for k in range(n))
