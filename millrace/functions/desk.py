@@ -81,14 +81,17 @@ def whole(v: Column, *patterns: str) -> Column:
 
 def passport_fits(number: Column, nationality: Column) -> Column:
     """Whether a number looks like the country's passports; of an unknown or empty country: five to twenty letters and digits."""
-    v, code = text(number), F.upper(text(nationality))
-    country = lookup(ISO2_TO_ISO3, code, code)
+    v = text(number)
     groups: dict[tuple[str, ...], list[str]] = {}
     for c, patterns in PATTERNS.items():
         groups.setdefault(tuple(patterns), []).append(c)
     generic = whole(v, "[A-Za-z0-9]{5,20}")
-    first, *rest = [(country.isin(*of), whole(F.upper(v), *patterns)) for patterns, of in groups.items()]
-    return reduce(lambda out, r: out.when(*r), rest, F.when(*first)).otherwise(generic)
+
+    def fits(country: Column) -> Column:
+        first, *rest = [(country.isin(*of), whole(F.upper(v), *patterns)) for patterns, of in groups.items()]
+        return reduce(lambda out, r: out.when(*r), rest, F.when(*first)).otherwise(generic)
+
+    return mrz.let(mrz.let(F.upper(text(nationality)), lambda code: lookup(ISO2_TO_ISO3, code, code)), fits)
 
 
 def _accuracy(score: Column, issues: Column) -> Column:

@@ -198,9 +198,10 @@ def quick_fixes(field: Column, value: Column, nationality: Column, as_of: str, m
     def rows(*fixes: Column) -> Column:
         return F.array_compact(F.array(*fixes))
 
+    # Every ambiguous character has a suggestion other than itself, so the first warnings give the first fixes; no more are written out.
     swaps = F.flatten(
         F.transform(
-            ambiguity_warnings(v),
+            F.slice(ambiguity_warnings(v), 1, most),
             lambda w: F.transform(
                 F.filter(F.split(w["suggestions"], ","), lambda s: s != w["char"]),
                 lambda s: F.struct(F.lit("replace").alias("action"), F.lit("AMBIGUOUS_CHARACTER").alias("code"), F.concat(F.substr(v, F.lit(1), w["position"]), s, F.substr(v, w["position"] + 2)).alias("value")),
