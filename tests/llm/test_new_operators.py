@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -184,6 +185,46 @@ def test_multikey_order_sorts():
     assert (words[suffixes.multikey_order(words)] == words[np.lexsort(words.T[::-1])]).all()
 
 
+def test_texts_are_gone_through_once_for_anchors(spark, monkeypatch):
+    plans, whole = {}, tables.written
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, label)
+
+    monkeypatch.setattr(suffixes, "written", kept)
+    frame = spark.createDataFrame(list(enumerate(passages(5, 20, 40))), "doc_id long, text string")
+    base = tables.texts(frame)
+    found, each = suffixes._suffixes(base, 40, 30)
+    assert found.count() > each.count() > 0
+    assert [label for label, plan in plans.items() if "MapInArrow" in plan] == ["suffix-anchors"]
+
+
+@pytest.mark.parametrize("segment", [100, 1 << 16])
+def test_anchors_of_joined_texts_are_those_of_each(segment):
+    texts = [t.encode() for t in passages(9, 60, 40) if t and len(t.encode()) >= 40]
+    hasher, ends = suffixes.Hasher(segment + 40), np.cumsum([len(t) for t in texts])
+    place, key = suffixes.anchors(b"".join(texts), 40, 30, hasher, ends[:-1])
+    alone = [suffixes.anchors(t, 40, 30, hasher) for t in texts]
+    assert place.tolist() == [p + end - len(t) for t, end, (own, _) in zip(texts, ends, alone, strict=True) for p in own.tolist()]
+    assert key.tolist() == [k for _, own in alone for k in own.tolist()]
+
+
+def test_spans_of_texts_are_merged():
+    rng = random.Random(4)
+    spans = lambda: [{"begin": a, "end": a + rng.randint(1, 9)} for a in rng.choices(range(60), k=rng.randint(0, 3))]
+    rows = [[], *([spans() for _ in range(rng.randint(0, 4))] for _ in range(50)), []]
+    kind = pa.list_(pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+    lists = pa.array([[[]], *rows], kind)
+    for part, of in ((lists, [[[]], *rows]), (lists.slice(7, 20), rows[6:26]), (lists.slice(0, 0), []), (lists.slice(0, 2), [[[]], []])):
+        want = []
+        for row in of:
+            gone = {b for own in row for s in own for b in range(s["begin"], s["end"])}
+            begins, ends = sorted(b for b in gone if b - 1 not in gone), sorted(b + 1 for b in gone if b + 1 not in gone)
+            want.append([{"begin": a, "end": z} for a, z in zip(begins, ends, strict=True)])
+        assert suffixes.merged_spans(part).to_pylist() == want
+
+
 @has_data
 def test_op11_on_the_table(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
